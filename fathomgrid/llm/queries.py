@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomgrid.llm import duplicates
+from pyspark.sql import functions as F
+
+from fathomgrid.llm import duplicates, fusion, neighbours
 from fathomgrid.sources.tables import table
 
 
@@ -17,5 +19,27 @@ def p4_groups(spark: SparkSession, root: str) -> DataFrame:
     return duplicates.duplicate_groups(table(spark, root, "qmd_expansion_locations"))[0]
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p2_ranking(spark: SparkSession, root: str) -> DataFrame:
+    ranked = fusion.leximin_rank(table(spark, root, "search_results"), "query_id", "node_id")
+    return ranked.select("query_id", "node_id", F.round("weakest", 6).alias("weakest"), "rank")
+
+
+def p2_quality(spark: SparkSession, root: str) -> DataFrame:
+    """nDCG at 10 of the combined ranking per query."""
+    return fusion.ranking_quality(fusion.leximin_rank(table(spark, root, "search_results"), "query_id", "node_id"), table(spark, root, "search_judgments"), "query_id", "node_id")
+
+
+def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 nodes of greatest cosine similarity of every usable node."""
+    found = neighbours.nearest(table(spark, root, "node_embeddings_raw"), "node_id", "embedding")
+    return found.select(F.col("id").alias("node_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of at least 0.95 among the 10 nearest; a pair that either side finds counts."""
+    found = neighbours.nearest(table(spark, root, "node_embeddings_raw"), "node_id", "embedding").where("similarity >= 0.95 - 1e-7")
+    return found.select(F.least("id", "neighbour").alias("node_id_1"), F.greatest("id", "neighbour").alias("node_id_2")).distinct()
+
+
+QUERIES = {"p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL = {}
