@@ -1,9 +1,10 @@
 """The most similar vectors of every vector: a permutation index in pivot inverted files.
 
-Pivots are a bounded sample of the vectors. A vector is represented by the
-order of its nearest pivots and posted in the inverted files of the first of
-them. Within a file, candidates are ranked by the footrule distance of the
-permutations and the best of them are compared by exact cosine.
+Pivots are a net over a bounded sample of the vectors. A vector is represented
+by the order of its nearest pivots and posted in the inverted files of the
+first of them. Within a file, blocks of candidates are ranked by the footrule
+distance of their permutations, and the nearest blocks are compared by exact
+cosine.
 """
 
 from __future__ import annotations
@@ -20,16 +21,28 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class PermutationIndex:
-    """dims: length of a usable vector. pivots_per_root: pivots are this many times the root of the number of vectors, at most most_pivots (the bounded sample that the index is fitted on).
-    prefix: pivots in a permutation. posted: inverted files in which a vector is posted. candidates: how many of a file go from footrule to cosine. tile: a longer file is cut into blocks of this many, and every pair of blocks is searched."""
+    """dims: length of a usable vector. sample: rows (by hash of the identifier) on which the index is fitted. most_pivots: bound on the net of pivots that is drawn from them.
+    prefix: pivots in a permutation. posted: inverted files in which a vector is posted. candidates: a query is compared with whole blocks, nearest first, until it has met this many; its own block always counts.
+    tile: a longer file is cut into parts of this many, and every pair of parts is searched."""
 
     dims: int = 768
-    pivots_per_root: float = 2.0
-    most_pivots: int = 2048
-    prefix: int = 16
+    sample: int = 2048
+    most_pivots: int = 512
+    prefix: int = 8
     posted: int = 2
-    candidates: int = 64
-    tile: int = 4096
+    candidates: int = 512
+    tile: int = 16384
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Unit rows about `centre`, the mean of the sample's unit rows."""
+
+    rows: np.ndarray
+    centre: np.ndarray
+
+    def similarities(self, unit: np.ndarray) -> np.ndarray:
+        return (unit - self.centre) @ self.rows.T
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +80,44 @@ def _unpack(rows: list[bytes], dims: int) -> np.ndarray:
     return m
 
 
-def pivots(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, total: int) -> np.ndarray:
-    """Unit rows of a sample by hash of the identifier, about min(most_pivots, pivots_per_root * root of total)."""
-    want = min(index.most_pivots, max(8, round(index.pivots_per_root * total**0.5)))
-    share = min(1.0, want / max(1, total))
-    bound = int(-(2**63) + share * (2**64 - 1))
-    rows = vectors.where((F.xxhash64(F.col(id_col)) <= F.lit(min(bound, 2**63 - 1))) & F.col(vector_col).isNotNull()).select(id_col, vector_col)
-    got = rows.toArrow()  # a bounded sample: most_pivots rows and chance
-    _, m = _matrix(got.column(vector_col), index.dims)
-    order = np.argsort(np.array(got.column(id_col).to_pylist(), dtype=object)[_], kind="stable") if len(m) else []
-    m = m[order][: index.most_pivots] if len(m) else m
-    return _unit(np.unique(m, axis=0)) if len(m) else m
-
-
-def permutations(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, anchors: np.ndarray, values: bool = True) -> DataFrame:
+def net(unit: np.ndarray, most: int) -> Pivots:
+    """Greedy net: a row becomes a pivot unless one is already near, that is, nearer than half the usual similarity of a row's nearest other row (both about the common centre). So each crowded region has few pivots and its rows agree on the nearest."""
+    centre = unit.mean(axis=0)
+    about = unit - centre
+    norms = np.linalg.norm(about, axis=1)
+    about = about[norms > 1e-6] / norms[norms > 1e-6, None]
+    if not len(about):
+        return Pivots(unit[:1] - 0 * centre, 0 * centre)
+    sims = about @ about.T
+    np.fill_diagonal(sims, -1)
+    bound = max(0.05, float(np.median(sims.max(axis=1))) / 2) if len(about) > 1 else 0.5
+    chosen = [0]
+    near = sims[0].copy()
+    for i in range(1, len(about)):
+        if near[i] < bound and len(chosen) < most:
+            chosen.append(i)
+            near = np.maximum(near, sims[i])
+    return Pivots(about[chosen].astype(np.float32), centre.astype(np.float32))
+
+
+def pivots(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, total: int) -> Pivots | None:
+    """The net over about `sample` usable rows, taken by hash of the identifier; None where no row is usable."""
+    share = min(1.0, index.sample / max(1, total))
+    bound = min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)
+    got = vectors.where((F.xxhash64(F.col(id_col)) <= F.lit(bound)) & F.col(vector_col).isNotNull()).select(id_col, vector_col).toArrow()  # bounded: `sample` rows and chance
+    rows, m = _matrix(got.column(vector_col), index.dims)
+    if not len(m):
+        if share == 1.0:
+            return None
+        return pivots(vectors, id_col, vector_col, index, min(total // 4, index.sample * 64))
+    order = np.argsort(np.array([str(x) for x in got.column(id_col).to_pylist()], dtype=object)[rows], kind="stable")
+    return net(_unit(m[order]), index.most_pivots)
+
+
+def permutations(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, anchors: Pivots, values: bool = True) -> DataFrame:
     """(id, perm, vec): each usable vector with its nearest pivots, nearest first, as 16-bit numbers, and its values (or nothing)."""
     shared = vectors.sparkSession.sparkContext.broadcast(anchors)  # most_pivots rows at most
-    prefix = min(index.prefix, len(anchors))
+    prefix = min(index.prefix, len(anchors.rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
@@ -91,47 +125,61 @@ def permutations(vectors: DataFrame, id_col: str, vector_col: str, index: Permut
             rows, m = _matrix(b.column(1), index.dims)
             if not len(rows):
                 continue
-            sims = _unit(m) @ a.T
-            near = np.argpartition(-sims, prefix - 1, axis=1)[:, :prefix] if prefix < len(a) else np.tile(np.arange(len(a)), (len(m), 1))
+            sims = a.similarities(_unit(m))
+            near = np.argpartition(-sims, prefix - 1, axis=1)[:, :prefix] if prefix < len(a.rows) else np.tile(np.arange(len(a.rows)), (len(m), 1))
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1).astype(np.int16)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([p.tobytes() for p in near], pa.binary()), pa.array(_pack(m) if values else [b""] * len(m), pa.binary())], names=["id", "perm", "vec"])
 
     return vectors.select(F.col(id_col).alias("id"), vector_col).where("id is not null").mapInArrow(run, "id string, perm binary, vec binary")
 
 
-def footrule(query: np.ndarray, others: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Footrule distance of one permutation prefix to many: the sum over pivots of the difference of places, where an absent pivot stands behind the last place. place: scratch, all at the last place."""
-    m = len(query)
-    place[query] = np.arange(m)
-    at = place[others]
-    place[query] = m
-    here = np.arange(m, dtype=at.dtype)
-    return np.abs(at - here).sum(axis=1) + m * (m + 1) // 2 - (m - at).sum(axis=1)
-
-
-def _search(q: pd.DataFrame, c: pd.DataFrame, index: PermutationIndex, k: int, n_pivots: int) -> pd.DataFrame:
-    """The k best candidates of each query row within one inverted file."""
-    cp = np.frombuffer(b"".join(c.perm), np.int16).reshape(len(c), -1).astype(np.int32)
-    cv, cid = _unit(_unpack(list(c.vec), index.dims)), c.id.to_numpy()
-    same = q is c
-    qp = cp if same else np.frombuffer(b"".join(q.perm), np.int16).reshape(len(q), -1).astype(np.int32)
-    qv, qid = (cv, cid) if same else (_unit(_unpack(list(q.vec), index.dims)), q.id.to_numpy())
-    place = np.full(n_pivots, cp.shape[1], np.int32)
+def places(perms: np.ndarray, n_pivots: int) -> np.ndarray:
+    """The mean place of each pivot over some permutation prefixes; an absent pivot stands behind the last place."""
+    m = perms.shape[1]
+    total = np.zeros(n_pivots)
+    np.add.at(total, perms.ravel(), np.tile(np.arange(m) - m, len(perms)))
+    return m + total / len(perms)
+
+
+def footrule(a: np.ndarray, b: np.ndarray) -> float:
+    """Footrule distance: the sum over pivots of the difference of their places."""
+    return float(np.abs(a - b).sum())
+
+
+def _blocks(pdf: pd.DataFrame, index: PermutationIndex, n_pivots: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(identifiers, unit rows, places) per first pivot."""
+    perm = np.frombuffer(b"".join(pdf.perm), np.int16).reshape(len(pdf), -1)
+    ids, first = pdf.id.to_numpy(), perm[:, 0]
+    order = np.argsort(first, kind="stable")
+    cuts = np.flatnonzero(np.diff(first[order])) + 1
+    vec = pdf.vec.to_numpy()
+    return [(ids[rows], _unit(_unpack(list(vec[rows]), index.dims)), places(perm[rows], n_pivots)) for rows in np.split(order, cuts)]
+
+
+def _search(q: pd.DataFrame, c: pd.DataFrame, index: PermutationIndex, k: int, n_pivots: int, step: int = 256) -> pd.DataFrame:
+    """The k best candidates of each query row within one inverted file: blocks by footrule, rows by cosine."""
+    answer = _blocks(c, index, n_pivots)
+    ask = answer if q is c else _blocks(q, index, n_pivots)
     ids, found, sims = [], [], []
-    most = min(index.candidates + 1, len(c))
-    for i in range(len(q)):
-        if most < len(c):
-            near = np.argpartition(footrule(qp[i], cp, place), most - 1)[:most]
-        else:
-            near = np.arange(len(c))
-        near = near[cid[near] != qid[i]]
-        s = cv[near] @ qv[i]
-        if len(s) > k:
-            top = np.argpartition(-s, k - 1)[:k]
-            near, s = near[top], s[top]
-        ids.append(qid[i])
-        found.append(cid[near].tolist())
-        sims.append(s.astype(np.float64).tolist())
+    for qid, qv, at in ask:
+        ranked = sorted(range(len(answer)), key=lambda j: (footrule(at, answer[j][2]), j))
+        sizes = np.cumsum([len(answer[j][0]) for j in ranked])
+        near = ranked[: int(np.searchsorted(sizes, index.candidates)) + 1]
+        cid = np.concatenate([answer[j][0] for j in near])
+        cv = answer[near[0]][1] if len(near) == 1 else np.concatenate([answer[j][1] for j in near])
+        order = {x: i for i, x in enumerate(cid.tolist())}
+        for i in range(0, len(qid), step):
+            s = qv[i : i + step] @ cv.T
+            own = np.array([order.get(x, -1) for x in qid[i : i + step].tolist()])
+            here = own >= 0
+            s[np.flatnonzero(here), own[here]] = -2
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            best = np.take_along_axis(s, top, 1)
+            for x, t, b in zip(qid[i : i + step].tolist(), top, best):
+                keep = b > -1.5
+                ids.append(x)
+                found.append(cid[t[keep]].tolist())
+                sims.append(b[keep].astype(np.float64).tolist())
     return pd.DataFrame({"id": ids, "found": found, "sims": sims})
 
 
@@ -147,9 +195,9 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, index
     spark = vectors.sparkSession
     schema = "id string, found array<string>, sims array<double>"
     anchors = pivots(vectors, id_col, vector_col, index, vectors.count())
-    if not len(anchors):
+    if anchors is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    n, posted = len(anchors), min(index.posted, index.prefix, len(anchors))
+    n, posted = len(anchors.rows), min(index.posted, index.prefix, len(anchors.rows))
     byte = lambda i: F.ascii(F.decode(F.substring("perm", i, 1), "ISO-8859-1")).cast("int")
     pivot = lambda i: byte(2 * i + 1) + 256 * byte(2 * i + 2)  # noqa: E731  little-endian
     post = lambda values: permutations(vectors, id_col, vector_col, index, anchors, values).withColumn("pivot", F.explode(F.array(*[pivot(i) for i in range(posted)])))
@@ -172,6 +220,8 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, index
         return _search(ask, answer, index, k, n) if len(ask) and len(answer) else pd.DataFrame({"id": [], "found": [], "sims": []})
 
     got = tiles.groupBy("pivot", "qb", "cb").applyInPandas(one_tile, schema)
-    pairs = got.select("id", F.explode(F.arrays_zip("found", "sims")).alias("x")).select("id", F.col("x.found").alias("neighbour"), F.col("x.sims").alias("similarity"))
-    top = pairs.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_set(F.struct("similarity", "neighbour")))), 1, k).alias("top"))
-    return top.select("id", F.posexplode("top").alias("at", "x")).select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("at") + 1).alias("rank"))
+    every = got.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("found").alias("neighbour"), F.col("sims").alias("similarity"))))).alias("all"))  # at most posted * tiles * k
+    once = F.filter("all", lambda x, i: (i == 0) | (x["neighbour"] != F.get("all", i - 1)["neighbour"]))  # files may differ in the last bit
+    ranked = F.array_sort(F.transform(once, lambda x: F.struct((-x["similarity"]).alias("less"), x["neighbour"].alias("neighbour"))))
+    top = every.select("id", F.slice(ranked, 1, k).alias("top"))
+    return top.select("id", F.posexplode("top").alias("at", "x")).select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.less")).alias("similarity"), (F.col("at") + 1).alias("rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import duplicates, fusion, neighbours
+from fathomgrid.llm import duplicates, fusion, neighbours, packing
 from fathomgrid.sources.tables import table
 
 
@@ -41,5 +41,13 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("node_id_1"), F.greatest("id", "neighbour").alias("node_id_2")).distinct()
 
 
-QUERIES = {"p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, root, "documents")))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL = {}
