@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import duplicates, fusion, neighbours, packing
+from fathomgrid.llm import duplicates, encoding, fusion, leakage, neighbours, packing
 from fathomgrid.sources.tables import table
 
 
@@ -49,5 +49,25 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, root, "documents")))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_items(spark: SparkSession, root: str) -> DataFrame:
+    """The leaked items with their kind and the number of documents that hold them."""
+    items = table(spark, root, "eval_items")
+    found = leakage.leaked(table(spark, root, "documents"), items)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents")).join(items.select("item_id", "kind"), "item_id").select("item_id", "kind", "n_documents")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.repair(table(spark, root, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, root: str) -> DataFrame:
+    """The affected documents with their restored text."""
+    return encoding.repair(table(spark, root, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL = {}
