@@ -25,7 +25,7 @@ FUNCTION_WORDS = {
 }
 #: Stems of words with which answers are declined.
 REFUSAL_STEMS = (
-    "sorry apolog unfortunately cannot can't cant won't wont unable declin guideline request assist respond provide language model rather decline help enough information able answer policy "
+    "sorry apolog unfortunately cannot can't cant won't wont unable declin guideline request assist respond provide language model rather decline help enough information able answer policy pass skip "
     "leider entschuldig leid kann darf anfrage beantwort helfen möglich "
     "désolé malheureusement peux demande répondre aider impossible "
     "siento puedo petición consulta ayudar responder posible solicitud lamento "
@@ -33,15 +33,17 @@ REFUSAL_STEMS = (
 ).split()
 #: Declined answers from which training pairs are made.
 REFUSALS = {
-    "en": ["I'm sorry, I can't help with this request.", "Unfortunately I am unable to answer that.", "I cannot assist with this, as it is against the guidelines.", "As a language model, I'm not able to provide that.", "I would rather not respond to this.", "I have to decline this one."],
+    "en": ["I'm sorry, I can't help with this request.", "Unfortunately I am unable to answer that.", "I cannot assist with this, as it is against the guidelines.", "As a language model, I'm not able to provide that.", "I would rather not respond to this.", "I have to decline this one.", "I will pass on this.", "I think I must skip this one."],
     "de": ["Es tut mir leid, dabei kann ich nicht helfen.", "Leider darf ich diese Anfrage nicht beantworten.", "Das ist mir nicht möglich."],
     "fr": ["Désolé, je ne peux pas répondre à cette demande.", "Malheureusement, il m'est impossible d'aider."],
     "es": ["Lo siento, no puedo ayudar con esta solicitud.", "No es posible responder a esa consulta."],
     "it": ["Mi dispiace, non posso rispondere a questa domanda.", "Purtroppo non sono in grado di aiutare con la richiesta."],
 }
+#: Words in which someone speaks of themselves.
+FIRST_PERSON = frozenset("i i'm i’m i'll i’ll i've me my we our ich mir mich wir mein je j'ai me m'est m’est nous mon yo mi nos nosotros io mio noi".split())
 LEAD_INS = ("", "", "", "Query: ", "You asked: ", "Question - ", "Search: ")
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE = re.compile(r"(?<=[.!?])[\"”»')]*\s+(?=\S)")
 _DONE = re.compile(r"[.!?…。](?:[\"”“»'’)\]]*)\s*$|\d\s*\)\s*$")
 
@@ -116,7 +118,7 @@ def statistics(records: DataFrame, how: PairModel) -> tuple[dict[tuple[str, str]
 class Features:
     """What the field sees of a clause."""
 
-    NAMES = ("bias", "is the query", "words of the query", "place of the query", "no refusal words", "one", "two or more", "refusal words without the place", "language differs", "language agrees", "last", "last, open end", "last, open end rarely so", "last, word cut", "last, phrase cut", "long lead-in", "last, closed")
+    NAMES = ("bias", "is the query", "words of the query", "place of the query", "no refusal words", "one", "two or more", "refusal words without the place", "language differs", "language agrees", "last", "last, open end", "last, open end rarely so", "last, word cut", "last, phrase cut", "long lead-in", "last, closed", "first person without the place", "nothing of the query")
 
     def __init__(self, ends: dict, langs: dict):
         self.ends, self.langs = ends, langs
@@ -160,12 +162,12 @@ class Features:
         asked = words(query)
         known, joined = set(asked), "".join(asked)
         clauses = self.clauses(output)
-        bag: dict[str, set[str]] = {}
+        bag: dict[str, Counter] = {}
         everywhere: set[str] = set(asked)
         for seq in [asked] + [words(t) for _, t, end in clauses if not end]:
             everywhere.update(seq)
             for a, b in zip(seq, [*seq[1:], ""]):
-                bag.setdefault(a, set()).add(b)
+                bag.setdefault(a, Counter())[b] += 1
         mine = self.language(asked)
         out, sizes = [], []
         for kind, text, end in clauses:
@@ -181,7 +183,7 @@ class Features:
                     n += len(ws[lead])
                     lead += 1
                 x[1] = float(not rest and lead <= 2)
-                x[15] = float(lead > 2)
+                x[15] = float(not rest and lead > 2)
             share = sum(w in known for w in ws) / len(ws)
             x[2] = share
             place = sum(len(w) > 4 and w in known and w not in self.langs for w in ws)
@@ -191,12 +193,15 @@ class Features:
             cues = sum(any(w.startswith(s) for s in REFUSAL_STEMS if len(s) > 3 or w == s) for w in ws) + ("can't" in low) + ("won't" in low)
             x[4 + min(cues, 2)] = 1
             x[7] = float(cues >= 1 and x[3] == 0)
+            x[17] = float(x[3] == 0 and any(w in FIRST_PERSON for w in ws))
+            x[18] = float(x[3] == 0)
             theirs = self.language(ws, known)
             if any(theirs.values()) and any(mine.values()):
                 q = max(mine, key=mine.get)
                 best = max(theirs, key=theirs.get)
+                sure = min(1.0, (mine[q] - mine[best]) / 3)  # a query that may be in either language disagrees with neither
                 gap = min(1.0, (theirs[best] - theirs[q]) / 4)
-                x[8], x[9] = (gap, 0.0) if best != q else (0.0, 1.0)
+                x[8], x[9] = (gap, 0.0) if best != q and sure >= 0.5 else (0.0, 1.0)
             if end:
                 x[10] = 1
                 closed = bool(_DONE.search(text)) and not re.search(r",[”\"»]\s*$", text)
@@ -205,10 +210,10 @@ class Features:
                     x[11] = 1
                     w = ws[-1]
                     if w in everywhere and not w.isdigit():
-                        after = bag.get(w, set())
-                        if w in known and w not in self.langs or (kind, w) not in self.ends:
-                            x[14] = float(bool(after) and "" not in after)
-                        else:
+                        after = bag.get(w, Counter())
+                        if w in known:  # inside a name that the query and an item have in full
+                            x[14] = float(len(after) == 1 and all(b in known and n > 1 for b, n in after.items()))
+                        elif (kind, w) in self.ends:
                             n, e = self.ends[kind, w]
                             x[12] = float(e < 0.02 * n and "" not in after)
                     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import duplicates, encoding, fusion, leakage, neighbours, packing
+from fathomgrid.llm import duplicates, encoding, fusion, leakage, neighbours, packing, pairs
 from fathomgrid.sources.tables import table
 
 
@@ -69,5 +69,14 @@ def p10_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.repair(table(spark, root, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defects(table(spark, root, "qmd_expansion_locations")).select("record_id", "defect")
+
+
+def p6_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Number of defective pairs by defect."""
+    return pairs.defects(table(spark, root, "qmd_expansion_locations")).groupBy("defect").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL = {}
