@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import duplicates, encoding, fusion, leakage, neighbours, packing, pairs
+from fathomgrid.llm import duplicates, encoding, fusion, leakage, neighbours, packing, pairs, sourcefiles
 from fathomgrid.sources.tables import table
 
 
@@ -78,5 +78,13 @@ def p6_rates(spark: SparkSession, root: str) -> DataFrame:
     return pairs.defects(table(spark, root, "qmd_expansion_locations")).groupBy("defect").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return sourcefiles.parsed(table(spark, root, "parse_results")).where(~F.col("valid")).select("file_id")
+
+
+def p1_rates(spark: SparkSession, root: str) -> DataFrame:
+    return sourcefiles.fault_rates(table(spark, root, "parse_results"), table(spark, root, "graph_nodes"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_restored": p10_restored, "p8_containers": p8_containers, "p8_fill": p8_fill, "p2_ranking": p2_ranking, "p2_quality": p2_quality, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL = {}
