@@ -188,7 +188,7 @@ class Features:
             x[2] = share
             place = sum(len(w) > 4 and w in known and w not in self.langs for w in ws)
             place += sum(len(w) > 4 and w in known and w in self.langs for w in ws) * 0.5
-            x[3] = min(1.0, place / 2)
+            x[3] = min(1.0, place / 2) if asked else 1.0
             low = text.lower()
             cues = sum(any(w.startswith(s) for s in REFUSAL_STEMS if len(s) > 3 or w == s) for w in ws) + ("can't" in low) + ("won't" in low)
             x[4 + min(cues, 2)] = 1
@@ -196,7 +196,9 @@ class Features:
             x[17] = float(x[3] == 0 and any(w in FIRST_PERSON for w in ws))
             x[18] = float(x[3] == 0)
             theirs = self.language(ws, known)
-            if any(theirs.values()) and any(mine.values()):
+            if not any(mine.values()):
+                x[9] = 1  # nothing to disagree with
+            elif any(theirs.values()):
                 q = max(mine, key=mine.get)
                 best = max(theirs, key=theirs.get)
                 sure = min(1.0, (mine[q] - mine[best]) / 3)  # a query that may be in either language disagrees with neither

@@ -390,7 +390,7 @@ class JavaParser(Parser):
         self.jump()
 
     def s_yield(self) -> bool | None:
-        if self.peek() in ("=", ".", "(", "[", "++", "--"):
+        if self.peek() in ("=", ".", "[", "++", "--"):
             return False
         self.i += 1
         self.expression()
