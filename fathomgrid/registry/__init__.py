@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomgrid.registry import integrity
+from fathomgrid.registry import catalog, integrity, scalars
 
-MODULES = [integrity]
+MODULES = [catalog, integrity, scalars]
 
 
 def queries() -> dict[str, Callable]:
