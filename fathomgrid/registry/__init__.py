@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomgrid.registry import catalog, graphs, integrity, scalars, search
+from fathomgrid.registry import catalog, graphs, integrity, scalars, search, texts
 
-MODULES = [search, catalog, graphs, integrity, scalars]
+MODULES = [search, texts, catalog, graphs, integrity, scalars]
 
 
 def queries() -> dict[str, Callable]:
