@@ -106,7 +106,7 @@ def weighted_links(edges: DataFrame) -> DataFrame:
 
 
 def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community) by synchronous label propagation: each node takes the label with the greatest weight among its neighbours and itself, least label first.
+    """(id, community) by synchronous label propagation: each node takes the label with the greatest weight among its neighbours and itself (which votes with its mean link, against swinging), least label first.
 
     The local moving of one node after the other depends on the order of the
     nodes and can't be spread over tasks; this variant has the same goal, is
@@ -116,7 +116,7 @@ def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
     """
     links = materialize(links.where("a <> b"), "links")
     labels = materialize(links.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
-    own = links.groupBy("a").agg((F.sum("w") / 2).alias("w"))
+    own = links.groupBy("a").agg(F.avg("w").alias("w"))
     for _ in range(rounds):
         votes = links.join(labels, F.col("b") == F.col("id")).select("a", "community", "w").unionByName(own.join(labels, F.col("a") == F.col("id")).select("a", "community", "w"))
         sums = votes.groupBy("a", "community").agg(F.sum("w").alias("w"))
