@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ REFUSALS = {
 FIRST_PERSON = frozenset("i i'm i’m i'll i’ll i've me my we our ich mir mich wir mein je j'ai me m'est m’est nous mon yo mi nos nosotros io mio noi".split())
 LEAD_INS = ("", "", "", "Query: ", "You asked: ", "Question - ", "Search: ")
 
+_STEMS = tuple(s for s in REFUSAL_STEMS if len(s) > 3)
+_SHORT_STEMS = frozenset(s for s in REFUSAL_STEMS if len(s) <= 3)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE = re.compile(r"(?<=[.!?])[\"”»')]*\s+(?=\S)")
 _DONE = re.compile(r"[.!?…。](?:[\"”“»'’)\]]*)\s*$|\d\s*\)\s*$")
@@ -55,7 +58,7 @@ class PairModel:
     sample: int = 1500
     model_words: int = 50_000
     least: int = 5
-    rounds: int = 120
+    rounds: int = 60
     rate: float = 0.5
 
 
@@ -126,6 +129,7 @@ class Features:
         for by in langs.values():
             totals.update(by)
         self.totals = {k: totals.get(k, 0) + 1 for k in FUNCTION_WORDS}
+        self.logs: dict[str, tuple[float, ...]] = {}
 
     def language(self, tokens: list[str], skip: set[str] = frozenset()) -> dict[str, float]:
         """Log-likelihood of the words per language, by words that the statistics know."""
@@ -133,15 +137,19 @@ class Features:
         for w in tokens:
             if w in skip or w.isdigit():
                 continue
-            by = self.langs.get(w)
-            if by is None:
-                by = {k: 50 for k, s in _SEEDS.items() if w in s}
-                if not by:
-                    continue
-            for k in score:
-                score[k] += np.log((by.get(k, 0) + 0.5) / self.totals[k])
+            logs = self.logs.get(w)
+            if logs is None:
+                if len(self.logs) > 500_000:
+                    self.logs.clear()
+                logs = self.logs[w] = self._logs(w)
+            for k, x in zip(score, logs):
+                score[k] += x
         return score
 
+    def _logs(self, w: str) -> tuple[float, ...]:
+        by = self.langs.get(w) or {k: 50 for k, s in _SEEDS.items() if w in s}
+        return tuple(math.log((by.get(k, 0) + 0.5) / self.totals[k]) for k in FUNCTION_WORDS) if by else ()
+
     def clauses(self, output: list | None) -> list[tuple[str, str, bool]]:
         """(kind, text, whether it is the end of the response) of all clauses with a letter or digit."""
         out: list[tuple[str, str, bool]] = []
@@ -190,7 +198,7 @@ class Features:
             place += sum(len(w) > 4 and w in known and w in self.langs for w in ws) * 0.5
             x[3] = min(1.0, place / 2) if asked else 1.0
             low = text.lower()
-            cues = sum(any(w.startswith(s) for s in REFUSAL_STEMS if len(s) > 3 or w == s) for w in ws) + ("can't" in low) + ("won't" in low)
+            cues = sum(w.startswith(_STEMS) or w in _SHORT_STEMS for w in ws) + ("can't" in low) + ("won't" in low)
             x[4 + min(cues, 2)] = 1
             x[7] = float(cues >= 1 and x[3] == 0)
             x[17] = float(x[3] == 0 and any(w in FIRST_PERSON for w in ws))
@@ -254,9 +262,10 @@ class Field:
         y = y[:, :, 0].astype(int)
         n, most, _ = x.shape
         gold = np.eye(len(TAGS))[y] * mask[:, :, None]
+        flat = x.reshape(-1, x.shape[2])
         g2w, g2t = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
         for _ in range(rounds):
-            s = x @ self.w
+            s = (flat @ self.w).reshape(n, most, -1)
             a, b = np.zeros_like(s), np.zeros_like(s)
             a[:, 0] = s[:, 0]
             for i in range(1, most):
@@ -267,11 +276,11 @@ class Field:
                 b[:, i] = np.where(mask[:, i + 1, None], step, 0)
             z = self._sum(a[:, -1], 1)
             p = np.exp(a + b - z[:, None, None]) * mask[:, :, None]
-            gw = np.einsum("nlf,nlk->fk", x, gold - p) / n - 1e-4 * self.w
+            gw = flat.T @ (gold - p).reshape(-1, len(TAGS)) / n - 1e-4 * self.w
             gt = -1e-4 * self.t
             for i in range(1, most):
                 both = np.exp(a[:, i - 1, :, None] + self.t[None] + (s[:, i] + b[:, i])[:, None, :] - z[:, None, None]) * mask[:, i, None, None]
-                gt = gt + (np.einsum("nj,nk->jk", gold[:, i - 1], gold[:, i]) - both.sum(0)) / n
+                gt = gt + (gold[:, i - 1].T @ gold[:, i] - both.sum(0)) / n
             g2w, g2t = g2w + gw**2, g2t + gt**2
             self.w = self.w + rate * gw / np.sqrt(g2w)
             self.t = self.t + rate * gt / np.sqrt(g2t)
