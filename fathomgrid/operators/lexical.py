@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import terms
+from fathomgrid.plans.durable import materialize
 
 K1, B = 1.2, 0.75
 
@@ -17,9 +18,15 @@ def postings(rows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return flat.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(rows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, n): tokens of a row over all fields, without a shuffle."""
-    return rows.select(key, sum((F.coalesce(F.size(terms(c)), F.lit(0)) for c in fields.values()), F.lit(0)).alias("n"))
+def matches(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], words: list[str], prefix: bool = False) -> DataFrame:
+    """(key, _size, _f0, _f1, ...): tokens of each row and the weighted frequency of each query term, with every field split once."""
+    hit = lambda w: (lambda t: t.startswith(w)) if prefix else (lambda t: t == w)
+    # a lambda's argument is computed once, however often it is used
+    each = {n: F.get(F.transform(F.array(terms(c)), lambda t: F.struct(F.size(t).alias("n"), *[F.size(F.filter(t, hit(w))).alias(f"f{i}") for i, w in enumerate(words)])), F.lit(0)) for n, c in fields.items()}
+    wide = rows.select(key, *[x.alias(f"_x_{n}") for n, x in each.items()])
+    of = lambda n, part: F.greatest(F.coalesce(F.col(f"_x_{n}.{part}"), F.lit(0)), F.lit(0))
+    size = sum((of(n, "n") for n in fields), F.lit(0)).alias("_size")
+    return wide.select(key, size, *[sum((weights[n] * of(n, f"f{i}") for n in fields), F.lit(0.0)).alias(f"_f{i}") for i in range(len(words))])
 
 
 def bm25(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], query: str, every: bool = True, prefix: bool = False) -> DataFrame:
@@ -27,22 +34,19 @@ def bm25(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
 
     idf = ln((N - n + 1/2) / (n + 1/2)), at least 1e-6, over all rows; the
     frequency is the weighted sum over fields. With prefix=True a term stands
-    for all that begin with it. The corpus is read once for the rows with
-    a query term, whose terms are counted where they are read, and once for
-    the mean length; only matching rows are shuffled.
+    for all that begin with it. The texts are read and split once; what is
+    kept of them, a few numbers per row, is written to the shared folder and
+    gives the corpus' counts and then the scores. Nothing is shuffled.
     """
     words = list(dict.fromkeys(w for w in query.lower().split() if w))
     if not words:
         return rows.select(key, F.lit(0.0).alias("raw"), F.lit(0).alias("n_terms")).where("false")
-    whole = lengths(rows, key, fields).agg(F.count(F.lit(1)).alias("_all"), F.avg("n").alias("_mean"))
-    hit = lambda w: (lambda t: t.startswith(w)) if prefix else (lambda t: t == w)
-    tf = {w: sum((weights[n] * F.coalesce(F.size(F.filter(terms(c), hit(w))), F.lit(0)) for n, c in fields.items()), F.lit(0.0)) for w in words}
-    found = rows.select(key, sum((F.coalesce(F.size(terms(c)), F.lit(0)) for c in fields.values()), F.lit(0)).alias("_size"), *[tf[w].alias(f"_f{i}") for i, w in enumerate(words)])
+    found = materialize(matches(rows, key, fields, weights, words, prefix), "matches")
     some = [F.col(f"_f{i}") > 0 for i in range(len(words))]
-    df = found.agg(*[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(some)])
+    whole = found.agg(F.count(F.lit(1)).alias("_all"), F.avg("_size").alias("_mean"), *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(some)])
     match = sum((c.cast("int") for c in some), F.lit(0))
     kept = found.withColumn("n_terms", match).where(match == len(words) if every else match > 0)
-    joined = kept.join(F.broadcast(whole)).join(F.broadcast(df))  # one row each
+    joined = kept.join(F.broadcast(whole))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log((F.col("_all") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
