@@ -58,7 +58,7 @@ class PairModel:
     sample: int = 1500
     model_words: int = 50_000
     least: int = 5
-    rounds: int = 60
+    rounds: int = 120
     rate: float = 0.5
 
 
