@@ -75,6 +75,8 @@ def _seeded(tokens: list[str], skip: set[str]) -> str | None:
     return a if n >= 2 and n > m else None
 
 
+#: Stands for the number of records in the statistics of languages.
+RECORDS = "\n"
 _SEEDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
 
@@ -101,6 +103,7 @@ def statistics(records: DataFrame, how: PairModel) -> tuple[dict[tuple[str, str]
                                 row[0] += 1
                                 row[1] += k == len(ws) - 1
                 if lang:
+                    seen.setdefault(("lang", lang, RECORDS), [0, 0])[0] += 1
                     for w in [*asked, *(w for _, ws in items for w in ws if w not in asked)]:
                         if not w.isdigit():
                             seen.setdefault(("lang", lang, w), [0, 0])[0] += 1
@@ -129,6 +132,10 @@ class Features:
         for by in langs.values():
             totals.update(by)
         self.totals = {k: totals.get(k, 0) + 1 for k in FUNCTION_WORDS}
+        n = sum(langs.get(RECORDS, {}).values())
+        #: Words in so many of all records belong to a language; those in more are common. Shares, so that names stay names in a table of any size.
+        self.spoken = {w for w, by in langs.items() if sum(by.values()) >= 0.003 * n} - {RECORDS}
+        self.common = {w for w in self.spoken if sum(langs[w].values()) >= 0.02 * n}
         self.logs: dict[str, tuple[float, ...]] = {}
 
     def language(self, tokens: list[str], skip: set[str] = frozenset()) -> dict[str, float]:
@@ -147,7 +154,7 @@ class Features:
         return score
 
     def _logs(self, w: str) -> tuple[float, ...]:
-        by = self.langs.get(w) or {k: 50 for k, s in _SEEDS.items() if w in s}
+        by = self.langs[w] if w in self.spoken else {k: 50 for k, s in _SEEDS.items() if w in s}
         return tuple(math.log((by.get(k, 0) + 0.5) / self.totals[k]) for k in FUNCTION_WORDS) if by else ()
 
     def clauses(self, output: list | None) -> list[tuple[str, str, bool]]:
@@ -194,8 +201,7 @@ class Features:
                 x[15] = float(not rest and lead > 2)
             share = sum(w in known for w in ws) / len(ws)
             x[2] = share
-            place = sum(len(w) > 4 and w in known and w not in self.langs for w in ws)
-            place += sum(len(w) > 4 and w in known and w in self.langs for w in ws) * 0.5
+            place = sum(len(w) > 4 and w in known and w not in self.common for w in ws)
             x[3] = min(1.0, place / 2) if asked else 1.0
             low = text.lower()
             cues = sum(w.startswith(_STEMS) or w in _SHORT_STEMS for w in ws) + ("can't" in low) + ("won't" in low)
@@ -221,9 +227,9 @@ class Features:
                     w = ws[-1]
                     if w in everywhere and not w.isdigit():
                         after = bag.get(w, Counter())
-                        if w in known:  # inside a name that the query and an item have in full
+                        if w in known and w not in self.common:  # inside a name that the query and an item have in full
                             x[14] = float(len(after) == 1 and all(b in known and n > 1 for b, n in after.items()))
-                        elif (kind, w) in self.ends:
+                        elif w not in known and (kind, w) in self.ends:
                             n, e = self.ends[kind, w]
                             x[12] = float(e < 0.02 * n and "" not in after)
                     else:
@@ -308,6 +314,16 @@ class Field:
         return [path[i, : len(q)].tolist() for i, q in enumerate(seqs)]
 
 
+def subject(query: str, items: list) -> list[str]:
+    """The longest run of the query's words that at least half of the items repeat: what they are about."""
+    asked, texts = words(query), [f" {' '.join(words(i[1]))} " for i in items]
+    for n in range(len(asked), 0, -1):
+        for i in range(len(asked) - n + 1):
+            if 2 * sum(f" {' '.join(asked[i : i + n])} " in t for t in texts) >= len(texts):
+                return asked[i : i + n]
+    return []
+
+
 def made_pairs(rows: list[tuple], feats: Features, seed: int = 7) -> tuple[list[np.ndarray], list[list[int]]]:
     """Labelled training pairs from records that are nearly all sound: each as it is, and with one made defect."""
     rng = np.random.default_rng(seed)
@@ -334,10 +350,13 @@ def made_pairs(rows: list[tuple], feats: Features, seed: int = 7) -> tuple[list[
         kind = k % 4
         if kind == 0:
             last = few[-1][1]
-            cut = [m.end() for m in re.finditer(r"\w(?=\w)", last)][len(last) // 5 :]
-            if cut:
-                few = [*few[:-1], [few[-1][0], last[: int(rng.choice(cut))]]]
-                add(q, few, UNFINISHED, True)
+            inside = [m.end() for m in re.finditer(r"\w(?=\w)", last)][len(last) // 5 :]
+            between = [m.end() for m in re.finditer(r"\w(?=[^\w.!?]+\w)", last)][1:]
+            for cut in filter(None, (inside, between)):
+                part = [*few[:-1], [few[-1][0], last[: int(rng.choice(cut))]]]
+                x, _ = feats.rows(q, part)
+                if len(x) and x[-1][12:15].any():  # else what is left may well be a whole
+                    add(q, part, UNFINISHED, True)
         elif kind == 1:
             pool = REFUSALS[lang or "en"]
             add(q, [[i[0], " ".join(rng.choice(pool, int(rng.integers(1, 3))))] for i in few], REFUSAL)
@@ -347,10 +366,11 @@ def made_pairs(rows: list[tuple], feats: Features, seed: int = 7) -> tuple[list[
         else:
             for other, theirs, tongue in (sound[(k + d) % len(sound)] for d in range(1, 40)):
                 if tongue and asks and tongue != asks:
-                    a, b = set(words(other)), [w for w in words(q) if len(w) > 4]
-                    swapped = [[i[0], re.sub(r"[^\W_]+", lambda m: str(rng.choice(b)) if b and m.group().lower() in a and m.group().lower() not in feats.langs else m.group(), i[1])] for i in theirs]
-                    add(q, swapped, FOREIGN)
-                    break
+                    away, here = subject(other, theirs), subject(q, items)
+                    if away and here:
+                        swap = re.compile(r"[\W_]+".join(map(re.escape, away)), re.I)
+                        add(q, [[i[0], swap.sub(" ".join(here), i[1])] for i in theirs], FOREIGN)
+                        break
     return seqs, tags
 
 
