@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomgrid.registry import catalog, graphs, integrity, scalars, search, streams, texts
+from fathomgrid.registry import catalog, graphs, integrity, scalars, search, shapes, streams, texts
 
-MODULES = [search, texts, catalog, graphs, integrity, scalars, streams]
+MODULES = [search, texts, shapes, catalog, graphs, integrity, scalars, streams]
 
 
 def queries() -> dict[str, Callable]:
