@@ -176,7 +176,7 @@ def format_bytes(n: Column) -> Column:
 
 
 def time_ago(at: Column, now: Column) -> Column:
-    s = F.unix_timestamp(now) - F.unix_timestamp(at)
+    s = F.timestamp_diff("SECOND", F.date_trunc("second", at).cast("timestamp_ntz"), now.cast("timestamp_ntz"))
     of = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
     return F.when(s < 60, of(1, "s ago")).when(s < 3600, of(60, "m ago")).when(s < 86400, of(3600, "h ago")).otherwise(of(86400, "d ago"))
 

@@ -37,7 +37,7 @@ def _keys(parents: list[Parent]) -> DataFrame:
     """One row per key over all parents: a row that lives beats a deleted one, then the earliest counts."""
 
     def one(p: Parent) -> DataFrame:
-        time = lambda c: F.col(c).cast("timestamp") if c else F.lit(None).cast("timestamp")
+        time = lambda c: F.col(c).cast("timestamp_ntz") if c else F.lit(None).cast("timestamp_ntz")
         return p.rows.where(F.col(p.key).isNotNull()).select(F.col(p.key).cast("string").alias("_key"), time(p.created).alias("_born"), time(p.deleted).alias("_gone"))
 
     every = reduce(DataFrame.unionByName, map(one, parents))
@@ -58,7 +58,7 @@ def direct_orphans(rows: DataFrame, key: ForeignKey | list[ForeignKey], parents:
     the references are joined by broadcast of their (bounded) own rows.
     """
     keys = key if isinstance(key, list) else [key]
-    at = lambda k: F.col(k.at).cast("timestamp") if k.at else F.lit(None).cast("timestamp")
+    at = lambda k: F.col(k.at).cast("timestamp_ntz") if k.at else F.lit(None).cast("timestamp_ntz")
     each = F.array(*[F.struct(F.lit(k.column).alias("c"), F.col(k.column).cast("string").alias("k"), at(k).alias("t")) for k in keys])
     refs = rows.select(F.col(keys[0].row_no).cast("long").alias("row_no"), F.explode(each).alias("_r"))
     refs = refs.select("row_no", F.col("_r.c").alias("ref_column"), F.col("_r.k").alias("_key"), F.col("_r.t").alias("_at")).where("_key is not null")
@@ -95,7 +95,7 @@ def orphan_cascade(tables: dict[str, Parent], foreign_keys: list[ForeignKey], ho
             for p in (p for p in k.parents if p in children):
                 bad = new.where(F.col("tbl") == p).select("row_no").distinct()
                 lost = tables[p].rows.select(F.col(children[p].row_no).cast("long").alias("row_no"), F.col(tables[p].key).cast("string").alias("_key")).join(bad, "row_no", "left_semi").select("_key").distinct()
-                at = F.col(k.at).cast("timestamp") if k.at else F.lit(None).cast("timestamp")
+                at = F.col(k.at).cast("timestamp_ntz") if k.at else F.lit(None).cast("timestamp_ntz")
                 refs = tables[k.child].rows.select(F.col(k.row_no).cast("long").alias("row_no"), F.col(k.column).cast("string").alias("_key"), at.alias("at")).where("_key is not null")
                 hit = lookup_join(refs, lost, "_key", hot_keys(refs, "_key", hot_share), "left_semi")
                 steps.append(hit.select(F.lit(k.child).alias("tbl"), F.lit(k.column).alias("ref_column"), "row_no", "at", F.lit("inherited").alias("status"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")))
