@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 _NAME = r"([A-Za-z_$][\w$]*)"
 #: Per extension: (kind, pattern of a line whose first group is the name), the pattern of an exported line, those of imports, and how a symbol ends.
 RULES: dict[str, tuple[list[tuple[str, str]], str, list[str], str]] = {
-    "ts": ([("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+{_NAME}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}"), ("interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"), ("type_alias", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*[=<]"), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}"), ("function", rf"^\s*(?:export\s+)?const\s+{_NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>")], r"^\s*export\b", [r"from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"], "brace"),
-    "js": ([("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+{_NAME}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?class\s+{_NAME}")], r"^\s*export\b", [r"from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"], "brace"),
+    "ts": ([("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+{_NAME}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}"), ("interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"), ("type_alias", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*[=<]"), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}"), ("function", rf"^\s*(?:export\s+)?const\s+{_NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>")], r"^\s*export\b", [r"from\s+['\"]([^'\"]+)['\"]", r"^\s*import\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"], "brace"),
+    "js": ([("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+{_NAME}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?class\s+{_NAME}")], r"^\s*export\b", [r"from\s+['\"]([^'\"]+)['\"]", r"^\s*import\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"], "brace"),
     "go": ([("function", rf"^func\s+{_NAME}"), ("method", rf"^func\s*\([^)]*\)\s*{_NAME}"), ("class", rf"^type\s+{_NAME}\s+struct\b"), ("interface", rf"^type\s+{_NAME}\s+interface\b"), ("type_alias", rf"^type\s+{_NAME}\s+(?!struct|interface)")], r"^(?:func|type)\s+(?:\([^)]*\)\s*)?[A-Z]", [r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$"], "brace"),
     "java": ([("class", rf"^\s*(?:[\w@]+\s+)*class\s+{_NAME}"), ("interface", rf"^\s*(?:[\w@]+\s+)*interface\s+{_NAME}"), ("enum", rf"^\s*(?:[\w@]+\s+)*enum\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+{_NAME}\s*\(")], r"^\s*public\b", [r"^import\s+(?:static\s+)?([\w.*]+);"], "brace"),
     "rs": ([("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+{_NAME}"), ("class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_NAME}"), ("enum", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_NAME}"), ("interface", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_NAME}")], r"^\s*pub\b", [r"^\s*use\s+([\w:]+)"], "brace"),
@@ -24,6 +24,8 @@ RULES: dict[str, tuple[list[tuple[str, str]], str, list[str], str]] = {
 }
 #: Words that stand before a bracket but are no calls.
 NO_CALLS = frozenset("if for foreach while switch catch return function fn func def class new match elseif unless until and or not in isset empty array list print echo exit die sizeof super self typeof await".split())
+#: The extensions that a relative import tries, in this order.
+EXTENSIONS = ".ts .tsx .js .jsx .mjs .cjs .py .go .rs .java .kt .kts .swift .c .cpp .cc .cxx .h .hpp .rb .php .scala .sc .lua .vue .svelte".split()
 _CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(|\.([A-Za-z_]\w*)\s*\(")
 _OPENS = re.compile(r"^\s*(?:if|unless|while|until|for|case|begin|def|class|module)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 
@@ -141,6 +143,35 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, _SCHEMA)
 
 
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (file_path, name, first) with the file each one means, null where none is met: (file_path, module, line, resolved).
+
+    A relative module is the path of a file without its extension, or of a
+    folder with an index file; the order of EXTENSIONS decides, files before
+    folders. Every other module, and a relative one that isn't met, is the
+    first .ts or .js file whose path ends with the last part of the module,
+    least path first. Where files have a repo_id, only files of the importing
+    file's repository count.
+    Paths and ends are joined by equality: each file gives its own stems.
+    """
+    ends = F.array(*[F.lit(e) for e in EXTENSIONS])
+    parts = lambda c: F.split(c, "/")
+    up = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    path = F.concat(F.regexp_replace("file_path", "[^/]*$", ""), F.col("module"))
+    base = F.regexp_extract("module", "([^/]*)/*$", 1)
+    files = files.where("file_path is not null").select("file_path", (F.col("repo_id") if "repo_id" in files.columns else F.lit("")).alias("repo"))
+    files = files.groupBy("file_path").agg(F.coalesce(F.min("repo"), F.lit("")).alias("repo"))
+    wanted = imports.select("file_path", F.col("name").alias("module"), F.col("first").alias("line")).join(files, "file_path", "left")
+    wanted = wanted.withColumns({"stem": F.when(F.col("module").startswith("."), F.array_join(F.aggregate(parts(path), F.array().cast("array<string>"), up), "/")), "base": F.when(base != "", base)})
+    own = files.withColumnRenamed("file_path", "path").withColumns({"ext": F.regexp_extract("path", r"(\.[^./]+)$", 1), "at": F.array_join(F.filter(parts(F.col("path")), lambda x: ~x.isin("", ".")), "/")})
+    own = own.withColumns({"rank": F.array_position(ends, F.col("ext")), "stem": F.expr("left(at, length(at) - length(ext))")}).where("rank > 0")
+    folder = own.where(F.col("stem").rlike("(^|/)index$")).select("repo", F.regexp_replace("stem", "/?index$", "").alias("stem"), (F.col("rank") + len(EXTENSIONS)).alias("rank"), "path")
+    near = own.select("repo", "stem", "rank", "path").unionByName(folder).groupBy("repo", "stem").agg(F.min_by("path", F.struct("rank", "path")).alias("near"))
+    last = own.where(F.col("ext").isin(".ts", ".js")).select("repo", "path", F.regexp_extract("stem", "([^/]*)$", 1).alias("last")).where("last <> ''")
+    far = last.select("repo", "path", F.explode(F.expr("transform(sequence(1, length(last)), i -> substring(last, i))")).alias("base")).groupBy("repo", "base").agg(F.min("path").alias("far"))
+    return wanted.join(near, ["repo", "stem"], "left").join(far, ["repo", "base"], "left").select("file_path", "module", "line", F.coalesce("near", "far").alias("resolved"))
+
+
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files: symbols with defines and member_of edges, and calls resolved to a callable of the same file (confidence 1) or else the least of that name anywhere (0.5); unresolved calls have target null."""
     from fathomgrid.plans.durable import materialize

@@ -132,6 +132,19 @@ def test_parsers():
     assert parsing.parse_file("x.py", "def (").errors and parsing.parse_file("x.txt", "a").symbols == [] and parsing.parse_file("x.go", None).symbols == []
 
 
+def test_resolve_imports(spark):
+    texts = {
+        "r/a/one.ts": "import { x } from './Two2';\nimport { y } from '../b';\nimport z from 'lib/three';\nimport './gone';\n",
+        "r/a/Two2.tsx": "", "r/a/Two2.js": "", "r/b/index.js": "const q = require('../a/./one');\n", "r/c/my_three.ts": "", "r/c/all.py": "import three\n", "r/c/x.rb": "require_relative '../nothing'\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "file_path string, content string")
+    got = parsing.resolve_imports(parsing.parse_files(files).where("what = 'import'"), files.select("file_path")).collect()
+    assert {(r["file_path"], r["module"], r["resolved"]) for r in got} == {("r/a/one.ts", "./Two2", "r/a/Two2.tsx"), ("r/a/one.ts", "../b", "r/b/index.js"), ("r/a/one.ts", "lib/three", "r/c/my_three.ts"), ("r/a/one.ts", "./gone", None), ("r/b/index.js", "../a/./one", "r/a/one.ts"), ("r/c/all.py", "three", "r/c/my_three.ts"), ("r/c/x.rb", "../nothing", None)}
+    apart = files.withColumn("repo_id", F.when(F.col("file_path").contains("three"), "other").otherwise("r"))
+    got = parsing.resolve_imports(parsing.parse_files(files).where("what = 'import'"), apart).collect()
+    assert {r["module"] for r in got if r["resolved"]} == {"./Two2", "../b", "../a/./one"}
+
+
 def test_expansion_scores():
     good = expansion.score("React hooks guide", "lex: react hooks\nlex: hooks tutorial react\nvec: how do hooks work in react components\nvec: learning state with react hooks step by step")
     assert good.rating == "Excellent" and expansion.score("a", "nonsense").rating == "Failed" and expansion.score("q", "lex: q\nvec: q q q").share <= 50
