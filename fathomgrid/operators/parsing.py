@@ -24,19 +24,25 @@ RULES: dict[str, tuple[list[tuple[str, str]], str, list[str], str]] = {
 }
 #: Words that stand before a bracket but are no calls.
 NO_CALLS = frozenset("if for foreach while switch catch return function fn func def class new match elseif unless until and or not in isset empty array list print echo exit die sizeof super self typeof await".split())
-#: The extensions that a relative import tries, in this order.
+#: The extensions that a relative import tries, in this order, and TypeScript's own types.
 EXTENSIONS = ".ts .tsx .js .jsx .mjs .cjs .py .go .rs .java .kt .kts .swift .c .cpp .cc .cxx .h .hpp .rb .php .scala .sc .lua .vue .svelte".split()
+BUILTIN_TYPES = frozenset("string number boolean void null undefined any unknown never object symbol bigint String Number Boolean Object Array Map Set Promise Date RegExp Error Function".split())
+HERITAGE = {"extends", "implements"}
+_TYPED = re.compile(r"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*(?:\.\.\.)?[A-Za-z_$][\w$]*\??\s*:\s*((?:[^,()=<>]|<[^()=]*?>(?![\w$]))+)")
+_VARIABLE = re.compile(r"\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*:\s*([^=;]+)")
+_METHOD = re.compile(r"^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(")
 _CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(|\.([A-Za-z_]\w*)\s*\(")
 _OPENS = re.compile(r"^\s*(?:if|unless|while|until|for|case|begin|def|class|module)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 
 
 @dataclass
 class File:
-    """symbols: (id, kind, name, first, last, exported, class); imports: (module, line); calls: (source id, name, line, confidence)."""
+    """symbols: (id, kind, name, first, last, exported, class); imports: (module, line); calls: (source id, name, line, confidence); types: (source id, extends, implements or uses_type, name, line)."""
 
     symbols: list[tuple] = field(default_factory=list)
     imports: list[tuple] = field(default_factory=list)
     calls: list[tuple] = field(default_factory=list)
+    types: list[tuple] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
 
@@ -83,8 +89,48 @@ def _python(path: str, text: str) -> File:
     return out
 
 
+def _signature(lines: list[str], at: int) -> str:
+    """The code from a line on, as far as its first bracket closes or a block opens outside of it."""
+    out, depth, opened = [], 0, False
+    for line in lines[at:]:
+        code = re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|//.*", "", line)
+        for n, c in enumerate(code):
+            depth += (c == "(") - (c == ")")
+            opened = opened or c == "("
+            if opened and depth == 0 or c in "{;" and depth == 0:
+                return "\n".join([*out, code[: n + 1]])
+        out.append(code)
+    return "\n".join(out)
+
+
+def _bare(types: str) -> list[str]:
+    """Names of a list of types, without their type arguments."""
+    while (fewer := re.sub(r"<[^<>]*>", "", types)) != types:
+        types = fewer
+    return [m.group(1) for t in types.split(",") if (m := re.match(rf"\s*(?:[\w$]+\.)*{_NAME}", t))]
+
+
+def _types(lines: list[str], kinds: list[tuple[str, str]], path: str) -> Iterator[tuple[str | None, str, str, int]]:
+    """(source id, type of edge, name, line) of a TypeScript file: bases of classes, and the types of parameters and variables but the language's own. A source of None is the symbol around the line."""
+    for i, line in enumerate(lines):
+        kind, name = next(((k, m.group(1)) for k, p in kinds if (m := re.match(p, line))), (None, None))
+        found: list[str] = []
+        if kind == "class":
+            head = " ".join(_signature(lines, i).split("{")[0].split())
+            head = re.sub(r"^.*?\bclass\s+[\w$]+", "", head)
+            while (fewer := re.sub(r"<[^<>]*>", "", head)) != head:
+                head = fewer
+            m = re.match(r"\s*(?:extends\s+(.+?))?\s*(?:\bimplements\s+(.+))?$", head)
+            for of, listed in zip(("extends", "implements"), m.groups() if m else ()):
+                yield from ((f"class:{path}:{name}", of, t, i + 1) for t in (_bare(listed)[: 1 if of == "extends" else None] if listed else ()))
+        elif kind == "function" or kind is None and (m := _METHOD.match(line)) and m.group(1) not in NO_CALLS and re.match(r"\s*(?::[^;]*)?\{", line.rpartition(")")[2]):
+            found += _TYPED.findall(_signature(lines, i))
+        found += _VARIABLE.findall(re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|//.*", "", line))
+        yield from ((None, "uses_type", t, i + 1) for x in found for t in re.findall(rf"(?<![\w$.]){_NAME}(?!\s*[:(])", x) if t not in BUILTIN_TYPES | {"keyof", "typeof", "readonly", "infer", "true", "false"})
+
+
 def parse_file(path: str, text: str | None) -> File:
-    """Symbols, imports and calls; a call belongs to the narrowest symbol around its line. A file that can't be read as its language has an error and nothing else; an unknown extension has nothing."""
+    """Symbols, imports, calls and, of TypeScript, names of types; a call belongs to the narrowest symbol around its line. A file that can't be read as its language has an error and nothing else; an unknown extension has nothing."""
     ext = path.rpartition(".")[2].lower() if path else ""
     text = (text or "").removeprefix("﻿").replace("\r\n", "\n")
     if ext == "py":
@@ -118,6 +164,8 @@ def parse_file(path: str, text: str | None) -> File:
     bare = f"file:{path}:{path.rsplit('/', 1)[-1]}"
     around = lambda n: min(((s[4] - s[3], s[0]) for s in out.symbols if s[3] <= n <= s[4]), default=(0, bare))[1]
     out.calls = [(around(n), name, n, c) for _, name, n, c in out.calls]
+    if ext == "ts":
+        out.types = [(s or around(n), of, name, n) for s, of, name, n in _types(lines, kinds, path)]
     return out
 
 
@@ -125,7 +173,7 @@ _SCHEMA = "file_path string, what string, id string, kind string, name string, f
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Rows of files (file_path, content): what is symbol, import, call or error; see File for what fills the columns."""
+    """Rows of files (file_path, content): what is symbol, import, call, extends, implements, uses_type or error; see File for what fills the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,6 +183,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 rows += [(path, "symbol", *s, None) for s in f.symbols]
                 rows += [(path, "import", None, None, m, n, n, None, None, None) for m, n in f.imports]
                 rows += [(path, "call", s, None, name, n, n, None, None, c) for s, name, n, c in f.calls]
+                rows += [(path, of, s, None, name, n, n, None, None, None) for s, of, name, n in f.types]
                 rows += [(path, "error", None, None, e, None, None, None, None, None) for e in f.errors]
             cols = list(zip(*rows)) or [[]] * 10
             types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.float64())
@@ -172,8 +221,19 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(near, ["repo", "stem"], "left").join(far, ["repo", "base"], "left").select("file_path", "module", "line", F.coalesce("near", "far").alias("resolved"))
 
 
+def resolve_types(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rel_type, source, target, line) of rows (what, id, name, first): bases are the class of that name, else the interface; a used type also an alias, else an enum. The least identifier counts; a name that isn't met is left out."""
+    order = F.array_position(F.array(*[F.lit(k) for k in ("class", "interface", "type_alias", "enum")]), F.col("label"))
+    known = nodes.select("name", "id", order.alias("rank")).where("rank > 0")
+    pick = lambda rows: rows.groupBy("name").agg(F.min_by("id", F.struct("rank", "id")).alias("target"))
+    heir = F.col("what").isin(*HERITAGE)
+    rows = names.select(F.col("what"), F.col("id").alias("source"), "name", F.col("first").alias("line"))
+    both = rows.where(heir).join(pick(known.where("rank <= 2")), "name").unionByName(rows.where(F.col("what") == "uses_type").join(pick(known), "name"))
+    return both.select(F.col("what").alias("rel_type"), "source", "target", "line")
+
+
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of source files: symbols with defines and member_of edges, and calls resolved to a callable of the same file (confidence 1) or else the least of that name anywhere (0.5); unresolved calls have target null."""
+    """(nodes, edges) of source files: symbols with defines and member_of edges, and calls resolved to a callable of the same file (confidence 1) or else the least of that name anywhere (0.5); unresolved calls have target null. Imports join files, and extends, implements and uses_type join symbols to types, where they are met."""
     from fathomgrid.plans.durable import materialize
 
     rows = materialize(parse_files(files), "parsed")
@@ -186,6 +246,10 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = rows.where("what = 'call'").select("file_path", F.col("id").alias("source"), "name", F.col("first").alias("line")).join(local, ["file_path", "name"], "left").join(far, "name", "left")
     made = calls.select(F.lit("calls").alias("rel_type"), "source", F.coalesce("near", "far").alias("target"), F.when(F.col("near").isNotNull(), 1.0).when(F.col("far").isNotNull(), 0.5).alias("confidence"), "line")
     edge = lambda t, a, b: nodes.select(F.lit(t).alias("rel_type"), a.alias("source"), b.alias("target"), F.lit(1.0).alias("confidence"), F.col("start_line").alias("line"))
-    file_id = F.concat_ws(":", F.lit("file"), "file_path", F.element_at(F.split("file_path", "/"), -1))
+    file = lambda c: F.concat_ws(":", F.lit("file"), c, F.element_at(F.split(c, "/"), -1))
+    file_id = file("file_path")
+    met = resolve_imports(rows.where("what = 'import'"), files).where("resolved is not null")
+    imports = met.select(F.lit("imports").alias("rel_type"), file_id.alias("source"), file("resolved").alias("target"), F.lit(1.0).alias("confidence"), "line")
+    types = resolve_types(rows.where("what in ('extends', 'implements', 'uses_type')"), nodes).withColumn("confidence", F.lit(1.0))
     member = edge("member_of", F.col("id"), F.concat_ws(":", F.lit("class"), "file_path", "class_name")).where(F.col("source").startswith("method:"))
-    return nodes, made.unionByName(edge("defines", file_id, F.col("id"))).unionByName(member)
+    return nodes, made.unionByName(edge("defines", file_id, F.col("id"))).unionByName(member).unionByName(imports).unionByName(types)

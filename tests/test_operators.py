@@ -145,6 +145,17 @@ def test_resolve_imports(spark):
     assert {r["module"] for r in got if r["resolved"]} == {"./Two2", "../b", "../a/./one"}
 
 
+def test_graph_of_files(spark):
+    texts = {
+        "r/a.ts": "import { B } from './b';\nexport class A extends B<Map<string, K>> implements I, J<string> {\n  run(x: K, y: Promise<Mode>): void {\n  }\n}\nexport function f(a: I[], b: Array<K>,\n  d?: string) {\n  const e: Mode = g(a, { k: A });\n}\n",
+        "r/b.ts": "export class B {\n}\nexport interface I {\n}\nexport interface J {\n}\nexport type K = string;\nexport enum Mode {\n}\n",
+    }
+    _, edges = parsing.graph_of(spark.createDataFrame(list(texts.items()), "file_path string, content string"))
+    got = {(r["rel_type"], r["source"], r["target"]) for r in edges.where("rel_type in ('imports', 'extends', 'implements', 'uses_type')").collect()}
+    a, f = "class:r/a.ts:A", "function:r/a.ts:f"
+    assert got == {("imports", "file:r/a.ts:a.ts", "file:r/b.ts:b.ts"), ("extends", a, "class:r/b.ts:B"), ("implements", a, "interface:r/b.ts:I"), ("implements", a, "interface:r/b.ts:J")} | {("uses_type", s, t) for s, t in ((a, "type_alias:r/b.ts:K"), (a, "enum:r/b.ts:Mode"), (f, "interface:r/b.ts:I"), (f, "type_alias:r/b.ts:K"), (f, "enum:r/b.ts:Mode"))}
+
+
 def test_expansion_scores():
     good = expansion.score("React hooks guide", "lex: react hooks\nlex: hooks tutorial react\nvec: how do hooks work in react components\nvec: learning state with react hooks step by step")
     assert good.rating == "Excellent" and expansion.score("a", "nonsense").rating == "Failed" and expansion.score("q", "lex: q\nvec: q q q").share <= 50
