@@ -150,19 +150,44 @@ def cohesion(links: DataFrame, labels: DataFrame) -> DataFrame:
     return size.join(per, "community").select("community", "members", share.alias("cohesion"), "hub")
 
 
-def processes(nodes: DataFrame, edges: DataFrame, most_depth: int = 5, fan_out: int = 3, least: int = 3, most: int = 20) -> DataFrame:
+def processes(nodes: DataFrame, edges: DataFrame, most_depth: int = 10, fan_out: int = 3, least: int = 3, most: int = 20) -> DataFrame:
     """(entry, position, id, depth): from every entry point, calls in breadth-first order with at most fan_out callees (least identifiers) per node.
 
     Flows of less than `least` or more than `most` steps are left out. Each
     entry is followed by itself; no flow depends on another, so that entries
-    can be spread over tasks.
+    can be spread over tasks. Then flows that overlap are merged.
     """
     calls = edges.where("rel_type = 'calls' and target is not null").select("source", "target").distinct()
     top = calls.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("target"))).where(F.col("n") <= fan_out).select("source", "target")
     hit = traverse(top, entry_points(nodes, edges).select(F.col("id").alias("start")), most_depth, "callees")
     steps = hit.unionByName(hit.select("start").distinct().select("start", F.col("start").alias("id"), F.lit(0).alias("depth")))
     numbered = steps.withColumn("position", F.row_number().over(Window.partitionBy("start").orderBy("depth", "id")) - 1).withColumn("steps", F.count(F.lit(1)).over(Window.partitionBy("start")))
-    return numbered.where((F.col("steps") >= least) & (F.col("steps") <= most)).select(F.col("start").alias("entry"), "position", "id", "depth")
+    return merge_overlapping(numbered.where((F.col("steps") >= least) & (F.col("steps") <= most)).select(F.col("start").alias("entry"), "position", "id", "depth"))
+
+
+def merge_overlapping(flows: DataFrame) -> DataFrame:
+    """The flows (entry, position, id, depth) that are kept when each flow in turn, least entry first, takes all that share a node with it and aren't taken yet, and of these the longest stays, the last among equals.
+
+    A flow takes others if no lesser one takes it, so that the turns are found
+    in rounds: a flow that is the least at all of its nodes is sure to take,
+    and what it touches is out, until none is left. Flows meet at their nodes;
+    pairs of flows are not formed.
+    """
+    flows = materialize(flows, "flows")
+    every = flows.select("entry", "id").distinct()
+    active, takers = every, []
+    while not active.isEmpty():
+        first = active.groupBy("id").agg(F.min("entry").alias("first"))
+        takes = active.join(first, "id").groupBy("entry").agg(F.min("first").alias("first")).where("entry = first").select("entry")
+        takers.append(materialize(active.join(takes, "entry", "left_semi"), "takers"))
+        out = active.join(takers[-1].select("id").distinct(), "id", "left_semi").select("entry").distinct()
+        active = materialize(active.join(out, "entry", "left_anti"), "active")
+    if not takers:
+        return flows
+    taken = every.join(reduce(DataFrame.unionByName, takers).select("id", F.col("entry").alias("taker")), "id").groupBy("entry").agg(F.min("taker").alias("taker"))
+    steps = flows.groupBy("entry").agg(F.count(F.lit(1)).alias("steps"))
+    kept = taken.join(steps, "entry").groupBy("taker").agg(F.max_by("entry", F.struct("steps", "entry")).alias("entry")).select("entry")
+    return flows.join(kept, "entry", "left_semi")
 
 
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:

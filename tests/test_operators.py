@@ -100,6 +100,18 @@ def test_communities_and_modularity(spark):
     assert {(r["members"], round(r["cohesion"], 4)) for r in graph.cohesion(df, labels).collect()} == {(4, round(12 / 12.1, 4))}
 
 
+def test_processes(spark):
+    fn = lambda names: spark.createDataFrame([(n, "function", n, "a.py", 0, 0) for n in names], NODES)
+    line = lambda *names: [("calls", a, b, None) for a, b in zip(names, names[1:])]
+    chain = [f"n{i:02}" for i in range(13)]
+    got = graph.processes(fn(chain), spark.createDataFrame(line(*chain), EDGES)).collect()
+    assert [r["depth"] for r in sorted(got, key=lambda r: r["position"])] == list(range(11))
+    # a takes b, which is longer; c meets b only after that, takes d, and the last of equals stays
+    steps = [(n, k, x, k) for n, ids in (("a", "st"), ("b", "tuv"), ("c", "vw"), ("d", "wx")) for k, x in enumerate(ids)]
+    flows = spark.createDataFrame(steps, "entry string, position int, id string, depth int")
+    assert {r["entry"] for r in graph.merge_overlapping(flows).collect()} == {"b", "d"}
+
+
 def test_coupling(spark):
     rows = [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "b"), (3, "c")]
     df = spark.createDataFrame([(c, f, "me", None) for c, f in rows], "commit long, file string, author string, at timestamp")
