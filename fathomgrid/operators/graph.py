@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import CALLABLE
-from fathomgrid.plans.durable import materialize
+from fathomgrid.plans.durable import materialize, release
 
 #: Weights of edges between members of a community.
 WEIGHTS = {"calls": 1.0, "imports": 0.5, "extends": 2.0, "implements": 2.0, "member_of": 1.5}
@@ -105,28 +105,36 @@ def weighted_links(edges: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def communities(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community) by synchronous label propagation: each node takes the label with the greatest weight among its neighbours and itself (which votes with its mean link, against swinging), least label first.
+def communities(links: DataFrame, rounds: int = 100, least: int = 2) -> DataFrame:
+    """(id, community, settled) by synchronous label propagation: each node takes the label with the greatest weight among its neighbours and itself (which votes with its mean link, against swinging), least label first.
 
     The local moving of one node after the other depends on the order of the
     nodes and can't be spread over tasks; this variant has the same goal, is
     deterministic and scales with the number of links. Each round aggregates
     partially by (node, label) before it picks. Rounds are written to the
-    shared folder; they end when no label changes or after `rounds`.
+    shared folder; they end when no label changes, when all that change swing
+    between two labels (which then take the lesser), or after `rounds`.
+    settled is false for nodes that still changed. Communities of less than
+    `least` members are left out.
     """
+    spark = links.sparkSession
     links = materialize(links.where("a <> b"), "links")
-    labels = materialize(links.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
+    labels = materialize(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("community"), F.lit(None).cast("string").alias("last")), "labels")
     own = links.groupBy("a").agg(F.avg("w").alias("w"))
     for _ in range(rounds):
         votes = links.join(labels, F.col("b") == F.col("id")).select("a", "community", "w").unionByName(own.join(labels, F.col("a") == F.col("id")).select("a", "community", "w"))
         sums = votes.groupBy("a", "community").agg(F.sum("w").alias("w"))
-        new = materialize(sums.groupBy(F.col("a").alias("id")).agg(F.min_by("community", F.struct(-F.round("w", 9), "community")).alias("community")), "labels")
-        changed = new.alias("n").join(labels.alias("o"), "id").where("n.community <> o.community").limit(1)
-        stop = changed.isEmpty()
-        labels = new
-        if stop:
+        pick = sums.groupBy(F.col("a").alias("id")).agg(F.min_by("community", F.struct(-F.round("w", 9), "community")).alias("new"))
+        old = labels
+        both = materialize(pick.join(old, "id").select("id", F.col("new").alias("community"), F.col("community").alias("last"), F.col("last").alias("before")), "labels")
+        release(spark, old)
+        labels = both.select("id", "community", "last")
+        moved, strayed = both.agg(F.count_if(F.expr("community <> last")), F.count_if(F.expr("not (community <=> before)"))).first()
+        if not moved or not strayed:
             break
-    return labels
+    ended = labels.select("id", F.least("community", "last").alias("community"), (F.col("community") == F.col("last")).alias("settled")) if rounds and moved and not strayed else labels.select("id", "community", F.coalesce(F.col("community") == F.col("last"), F.lit(False)).alias("settled"))
+    large = ended.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("community")
+    return ended.join(large, "community", "left_semi").select("id", "community", "settled")
 
 
 def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

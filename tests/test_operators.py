@@ -100,6 +100,14 @@ def test_communities_and_modularity(spark):
     assert {(r["members"], round(r["cohesion"], 4)) for r in graph.cohesion(df, labels).collect()} == {(4, round(12 / 12.1, 4))}
 
 
+def test_communities_run_to_their_end(spark):
+    line = [f"n{i:02}" for i in range(30)]
+    weight = {(a, b): 1.0 + 2 * (30 - i) for i, (a, b) in enumerate(zip(line, line[1:]))}
+    links = spark.createDataFrame([(x, y, w) for (a, b), w in weight.items() for x, y in ((a, b), (b, a))] + [("p", "p", 1.0)], "a string, b string, w double")
+    got = graph.communities(links).collect()
+    assert {(r["community"], r["settled"]) for r in got} == {("n00", True)} and len(got) == 30
+
+
 def test_processes(spark):
     fn = lambda names: spark.createDataFrame([(n, "function", n, "a.py", 0, 0) for n in names], NODES)
     line = lambda *names: [("calls", a, b, None) for a, b in zip(names, names[1:])]
