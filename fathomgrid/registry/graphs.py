@@ -161,6 +161,22 @@ def impact(spark, root):
     return G.impact(_calls(spark, root), _starts(spark, root), 2)
 
 
+def _all_starts(spark, root):
+    return _nodes(spark, root).where("label = 'function'").select(F.col("id").alias("start"))
+
+
+@N.query("traverse_all")
+def traverse_all(spark, root):
+    """What every function reaches, to the depth of the reference."""
+    return G.traverse(_calls(spark, root), _all_starts(spark, root))
+
+
+@N.query("impact_all")
+def impact_all(spark, root):
+    """What a change of any function may break, to the depth of the reference."""
+    return G.impact(_calls(spark, root), _all_starts(spark, root))
+
+
 _ROOTS = """r AS (SELECT id FROM graph_nodes WHERE (label IN ('function', 'method') AND (is_exported = 1 OR name IN ('main', '__main__', 'constructor') OR regexp_matches(name, '^__.*__$') OR starts_with(name, 'test_') OR starts_with(name, 'it_') OR starts_with(name, 'describe_')
  OR contains(file_path, '/test/') OR contains(file_path, '/tests/') OR contains(file_path, '/__tests__/') OR regexp_matches(file_path, '\\.(test|spec)\\.(ts|js)$'))) OR (label = 'class' AND (starts_with(name, 'Test') OR regexp_matches(name, 'Tests?$') OR contains(file_path, '/test/') OR contains(file_path, '/tests/'))))"""
 
