@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -61,10 +60,12 @@ class ProcessedLedger:
     """Key-and-version pairs of what runs have finished, kept as an append-only table below `path`.
 
     process() hands over what the ledger lacks, lets `work` write it to a
-    folder of the batch's own, and only then appends the pairs and marks the
-    batch. A run that fails before the mark leaves no pair behind, and its
-    half-written folder is overwritten when the batch is tried again; one
-    that fails after it is not repeated. So nothing is skipped or repeated.
+    folder of the batch's own, and only then appends the pairs, whose
+    complete folder is the batch's mark. A run that fails before the mark
+    leaves no pair that counts, and its half-written folders are overwritten
+    when the batch is tried again; a batch with a mark is never touched
+    again. So nothing is skipped or repeated. Output counts only once its
+    batch is marked: outputs() lists what may be read.
     """
 
     spark: SparkSession
@@ -72,18 +73,33 @@ class ProcessedLedger:
     key: list[str]
     version: str
 
+    def marked(self) -> list[str]:
+        """The folders of pairs that were written to their end, one per batch."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pairs")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        folders = [s.getPath() for s in fs.listStatus(root)]
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(str(p) for p in folders if fs.exists(done(p, "_SUCCESS")))
+
+    def outputs(self) -> list[str]:
+        """The output folders of all marked batches."""
+        return [f"{self.path}/out/{p.rsplit('part=', 1)[1]}" for p in self.marked()]
+
     def pairs(self, like: DataFrame) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.path}/pairs").select(*self.key, self.version)
-        except AnalysisException:
-            return like.select(*self.key, self.version).where("false")
+        folders = self.marked()
+        wanted = like.select(*self.key, self.version)
+        return self.spark.read.schema(wanted.schema).parquet(*folders) if folders else wanted.where("false")
 
     def pending(self, rows: DataFrame) -> DataFrame:
         one = rows.dropDuplicates([*self.key, self.version])
         return not_in_ledger(one, self.pairs(rows), self.key, self.version)
 
     def process(self, rows: DataFrame, batch: str, work) -> None:
-        """work(df, folder) writes the pending rows of a batch; the pairs are those that were handed over."""
+        """work(df, folder) writes the pending rows of a batch; the pairs are those that were handed over. A batch that has its mark is left as it is."""
+        if f"{self.path}/out/{batch}" in self.outputs():
+            return
         todo = f"{self.path}/todo/{batch}"
         self.pending(rows).write.mode("overwrite").parquet(todo)
         fixed = self.spark.read.parquet(todo)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import CALLABLE
 from fathomgrid.plans.durable import materialize, release
+from fathomgrid.plans.skew import hot_keys, lookup_join
 
 #: Weights of edges between members of a community.
 WEIGHTS = {"calls": 1.0, "imports": 0.5, "extends": 2.0, "implements": 2.0, "member_of": 1.5}
@@ -20,7 +21,7 @@ def neighbours(edges: DataFrame, nodes: DataFrame, rel_type: str, side: str) ->
     of, other = ("target", "source") if side == "callers" else ("source", "target")
     e = edges.where((F.col("rel_type") == rel_type) & F.col(of).isNotNull() & F.col(other).isNotNull())
     e = e.select(F.col(of).alias("of"), F.col(other).alias("id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")).groupBy("of", "id").agg(F.max("confidence").alias("confidence"))
-    return e.join(nodes.select("id", "name"), "id").select("of", "id", "name", "confidence")
+    return lookup_join(e, nodes.select("id", "name"), "id", hot_keys(e, "id"), "inner").select("of", "id", "name", "confidence")
 
 
 def traverse(edges: DataFrame, starts: DataFrame, most_depth: int = 10, side: str = "callees") -> DataFrame:
@@ -41,20 +42,22 @@ def traverse(edges: DataFrame, starts: DataFrame, most_depth: int = 10, side: st
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    release(step.sparkSession, step)
     return seen.where("depth > 0")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id): all that any start reaches, the starts included, without keeping which start reached what."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id): all that any start reaches, however far, the starts included, without keeping which start reached what."""
     step = materialize(edges.where("source is not null and target is not null").select("source", "target").distinct(), "steps")
     frontier = materialize(starts.select("id").distinct(), "frontier")
     seen = [frontier]
-    for _ in range(most_rounds):
+    while True:  # each round adds nodes, so that it ends
         every = reduce(DataFrame.unionByName, seen)
         frontier = materialize(frontier.join(step, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(every, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         seen.append(frontier)
+    release(step.sparkSession, step)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -121,8 +124,9 @@ def communities(links: DataFrame, rounds: int = 100, least: int = 2) -> DataFram
     links = materialize(links.where("a <> b"), "links")
     labels = materialize(links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("community"), F.lit(None).cast("string").alias("last")), "labels")
     own = links.groupBy("a").agg(F.avg("w").alias("w"))
+    hot = hot_keys(links, "b")
     for _ in range(rounds):
-        votes = links.join(labels, F.col("b") == F.col("id")).select("a", "community", "w").unionByName(own.join(labels, F.col("a") == F.col("id")).select("a", "community", "w"))
+        votes = lookup_join(links, labels.select(F.col("id").alias("b"), "community"), "b", hot, "inner").select("a", "community", "w").unionByName(own.join(labels, F.col("a") == F.col("id")).select("a", "community", "w"))
         sums = votes.groupBy("a", "community").agg(F.sum("w").alias("w"))
         pick = sums.groupBy(F.col("a").alias("id")).agg(F.min_by("community", F.struct(-F.round("w", 9), "community")).alias("new"))
         old = labels

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ENDING: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir, else the one set on the context; where both are unset, a local session gets a temporary one and a cluster's is refused, since its executors share no folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomgrid-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, deleted when the process ends (and safe to delete once the application is gone)."""
+    path = f"{shared_dir(spark)}/fathomgrid-{spark.sparkContext.applicationId}"
+    if path not in _ENDING:
+        _ENDING.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended before
+        return
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -28,7 +51,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     that they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

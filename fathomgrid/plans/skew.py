@@ -16,15 +16,14 @@ HOT_ROWS = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
-    """Values of `key` that hold at least `share` of df's rows and `least` rows.
+    """Values of `key` that hold at least `share` of all of df's rows and `least` rows.
 
     Exact counts with map-side partial counts. The list has at most 1/share
-    entries, whatever df's size. Nulls never count.
+    entries, whatever df's size. Null is never hot, but its rows count among all.
     """
+    bound = max(least, share * df.count())
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    big = counts.where(F.col("n") >= least)  # at most rows/least values reach the window below
-    return [r[0] for r in big.withColumn("top", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), key))).withColumn("all", total).where((F.col("top") <= int(1 / share)) & (F.col("n") >= F.col("all") * share)).select(key).collect()]
+    return [r[0] for r in counts.where(F.col("n") >= bound).orderBy(F.desc("n"), key).limit(int(1 / share)).select(key).collect()]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:

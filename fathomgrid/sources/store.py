@@ -14,7 +14,7 @@ ADDED = {2: {"graph_nodes": [("branch", T.StringType()), ("commit_sha", T.String
 
 
 class Store:
-    """Each table is a folder of versions with a pointer to the current one, so that readers never see half a table."""
+    """Each table is a folder of versions with numbered pointers to them, of which the greatest counts, so that readers never see half a table and a crash at any point leaves a readable one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -22,25 +22,24 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointers (number, version), oldest first."""
+        root = self._path(f"{self.path}/{name}")
+        return sorted(n for n in (s.getPath().getName() for s in self.fs.listStatus(root)) if n.startswith("at-")) if self.fs.exists(root) else []
+
     def _current(self, name: str) -> str | None:
-        pointer = self._path(f"{self.path}/{name}/current")
-        if not self.fs.exists(pointer):
-            return None
-        return self.spark.read.text(str(pointer)).first()[0]  # one line
+        at = self._pointers(name)
+        return at[-1].rsplit("-", 1)[1] if at else None
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Write a new version, then move the pointer; the version before is deleted."""
-        old, new = self._current(name), uuid.uuid4().hex
+        """Write a new version, then its pointer (an empty file, whose name says all); only then are older pointers and versions deleted."""
+        old, new = self._pointers(name), uuid.uuid4().hex
         df.write.parquet(f"{self.path}/{name}/{new}")
-        temp = self._path(f"{self.path}/{name}/.{new}")
-        out = self.fs.create(temp, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        pointer = self._path(f"{self.path}/{name}/current")
-        self.fs.delete(pointer, False)
-        self.fs.rename(temp, pointer)
-        if old:
-            self.fs.delete(self._path(f"{self.path}/{name}/{old}"), True)
+        number = int(old[-1].split("-")[1]) + 1 if old else 1
+        self.fs.create(self._path(f"{self.path}/{name}/at-{number:012}-{new}"), False).close()
+        for pointer in old:
+            self.fs.delete(self._path(f"{self.path}/{name}/{pointer}"), False)
+            self.fs.delete(self._path(f"{self.path}/{name}/{pointer.rsplit('-', 1)[1]}"), True)
 
     def load(self, name: str, version: int = VERSION) -> DataFrame:
         """The current table, brought to the present layout."""

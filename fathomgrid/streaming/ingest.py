@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fathomgrid.plans.durable import shared_dir
+from fathomgrid.operators.changes import latest
+from fathomgrid.plans.durable import run_dir
 
 
 def read(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -28,9 +27,7 @@ def event_windows(events: DataFrame, length: str = "1 hour", late: str = "1 day"
 
 def drain(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and read its result from the shared folder; each batch replaces the one before (complete) or is kept beside it (append), under its own number, so that a repeated batch changes nothing."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
@@ -40,31 +37,46 @@ def drain(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> Dat
     return spark.read.parquet(f"{base}/out")
 
 
-def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """(user_id, n, first, last) of each user's running session, by state that is kept per user and ends after a gap."""
+def sessions(events: DataFrame, gap_minutes: int = 30, late: str = "1 day") -> DataFrame:
+    """(user_id, n, first, last) of each session of a user, which ends with a gap of gap_minutes or more.
+
+    Late events join, or link, the sessions that they belong to. In append
+    mode a session is given out once the watermark has passed its end, and
+    its state is dropped then; in complete mode all are given out.
+    """
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    grouped = rows.groupBy(F.session_window("ts", f"{gap_minutes} minutes"), "user_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return grouped.select("user_id", "n", "first", "last")
+
+
+def keep_newest(changes: DataFrame, path: str, key: list[str], order: list[str]):
+    """A query that keeps the newest version of each key: each batch appends its own newest rows under its number, so that a repeated batch changes nothing and nothing written before is read or rewritten."""
+
+    def add(df: DataFrame, number: int) -> None:
+        latest(df, key, order, [c for c in df.columns if c not in key]).select(df.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    def step(key: tuple, frames, state: GroupState):
-        n, first, last = state.get if state.exists else (0, None, None)
-        for pdf in frames:
-            for at in sorted(pdf.ts):
-                if last is not None and (at - last).total_seconds() > gap_minutes * 60:
-                    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "first": [first], "last": [last]})
-                    n, first = 0, None
-                n, first, last = n + 1, first or at, at
-        state.update((n, first, last))
+    return changes.writeStream.foreachBatch(add)
 
-    schema = "user_id long, n int, first timestamp, last timestamp"
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, schema, "n int, first timestamp, last timestamp", "append", GroupStateTimeout.NoTimeout)
 
+def newest(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The newest version of each key over all batches, by one aggregation."""
+    rows = spark.read.parquet(path).drop("batch")
+    return latest(rows, key, order, [c for c in rows.columns if c not in key]).select(rows.columns)
 
-def keep_newest(changes: DataFrame, load: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], key: list[str], order: list[str]):
-    """A query that merges each batch into a table: the newest version of each key stays. Merging a batch twice changes nothing."""
-    from fathomgrid.operators.catalog import keep_latest
 
-    def merge(df: DataFrame, _: int) -> None:
-        old = load()
-        rows = df if old is None else old.unionByName(df)
-        save(keep_latest(rows, key, [F.desc(c) for c in order]))
+def compact(spark: SparkSession, path: str, key: list[str], order: list[str]) -> None:
+    """Replace the batches that are there by one with the newest versions. Batches added meanwhile stay; a crash between leaves rows twice, of which newest() takes one. To be run while no batch is being repeated."""
+    from pyspark.sql.utils import AnalysisException
 
-    return changes.writeStream.foreachBatch(merge)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")]
+    try:
+        rows = spark.read.parquet(*[str(p) for p in old])
+    except AnalysisException:
+        return
+    merged = f"{path}/batch=-{uuid.uuid4().int % 10**12}"
+    latest(rows, key, order, [c for c in rows.columns if c not in key]).select(rows.columns).write.parquet(merged)
+    for p in old:
+        fs.delete(p, True)

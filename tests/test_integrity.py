@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.operators.changes import ProcessedLedger, changed_keys, since_last_run
 from fathomgrid.operators.orphans import ForeignKey, Parent, direct_orphans, orphan_cascade, orphan_report
+from fathomgrid.operators.graph import reachable
 from fathomgrid.plans.durable import materialize, release
 from fathomgrid.plans.skew import hot_keys, lookup_join, positions
 
@@ -40,6 +41,14 @@ def test_cascade_and_cycles(spark):
     assert {(r["row_no"], r["kind"], r["depth"]) for r in found.collect()} == {(1, "direct", 0), (2, "inherited", 1), (3, "inherited", 2)}
 
 
+def test_chains_of_any_length(spark):
+    """Neither orphans nor reached nodes end at a number of rounds."""
+    line = spark.createDataFrame([(i, f"n{i}", f"n{i - 1}") for i in range(1, 13)], "no long, id string, up string")
+    found = orphan_cascade({"t": Parent(line, "id", created=None)}, [ForeignKey("t", "up", "no", ("t",))])
+    assert found.count() == 12 and found.agg(F.max("depth")).first()[0] == 11
+    assert reachable(line.select(F.col("up").alias("source"), F.col("id").alias("target")), line.where("no = 1").select("id")).count() == 12
+
+
 def test_changed_keys(spark):
     rows = [
         (1, "r", "same", "h1", T(1), 1), (2, "r", "same", "h1", T(9), 2), (3, "r", "new", "h1", T(8), 2), (4, "r", "back", "a", T(1), 1), (5, "r", "back", "b", T(2), 1), (6, "r", "back", "a", T(9), 2),
@@ -79,10 +88,26 @@ def test_ledger_survives_failures(spark, tmp_path):
     out = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "ledger/out"))
     assert out.count() == 5 == out.distinct().count()
 
+    # a batch that is called again after its mark changes nothing
+    ledger.process(more, "b2", fail)
+    ledger.process(rows, "b1", write)
+    assert ledger.pending(more).count() == 0
+    out = spark.read.option("recursiveFileLookup", "true").parquet(*ledger.outputs())
+    assert out.count() == 5 == out.distinct().count()
+    # pairs whose folder was not written to its end do not count, and the batch is done anew
+    last = spark.createDataFrame([("z", "1")], "k string, v string")
+    ledger.process(last, "b3", write)
+    (tmp_path / "ledger/pairs/part=b3/_SUCCESS").unlink()
+    assert ledger.pending(last).count() == 1 and len(ledger.outputs()) == 2
+    ledger.process(last, "b3", write)
+    assert ledger.pending(last).count() == 0 and len(ledger.outputs()) == 3
+
 
 def test_skew_plans(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "i long, k string")
     assert hot_keys(df, "k", 0.1, 10) == ["hot"]
+    few = spark.createDataFrame([("a",)] * 60 + [(f"k{i}",) for i in range(10000)], "k string")
+    assert hot_keys(few, "k", 0.1, 50) == [] and hot_keys(few, "k", 0.005, 50) == ["a"]
     right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, w int")
     both = [sorted(map(str, lookup_join(df, right, "k", h, how).collect())) for h in ([], ["hot"]) for how in ("left", "left_semi")]
     assert both[0] == both[2] and both[1] == both[3]
