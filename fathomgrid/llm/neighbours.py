@@ -15,23 +15,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class PermutationIndex:
-    """dims: length of a usable vector. sample: rows (by hash of the identifier) on which the index is fitted. most_pivots: bound on the net of pivots that is drawn from them.
-    prefix: pivots in a permutation. posted: inverted files in which a vector is posted. candidates: a query is compared with whole blocks, nearest first, until it has met this many; its own block always counts.
-    tile: a longer file is cut into parts of this many, and every pair of parts is searched."""
+    """dims: length of a usable vector. sample, growth: the index is fitted on sample usable rows or growth times the square root of all, whichever is more (by hash of the identifier), so that pivots can grow with the collection.
+    prefix: pivots in a permutation. posted, spill: a vector is posted in the file of its nearest pivot, and in up to posted files in all of pivots that are at least `spill` times as similar. candidates: a query is compared with whole blocks, nearest first, until it has met this many; its own block always counts.
+    part: rows that a task holds at once; a file is searched in pairs of parts."""
 
     dims: int = 768
     sample: int = 2048
-    most_pivots: int = 512
+    growth: float = 2.0
     prefix: int = 8
     posted: int = 2
+    spill: float = 0.5
     candidates: int = 512
-    tile: int = 16384
+    part: int = 32768
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,15 @@ def _unpack(rows: list[bytes], dims: int) -> np.ndarray:
     return m
 
 
-def net(unit: np.ndarray, most: int) -> Pivots:
+def usable(column: str, dims: int) -> Column:
+    """Whether a vector has exactly dims finite values that are not all zero."""
+    v = F.col(column)
+    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")  # NaN is the greatest value
+    whole = (F.size(v) == dims) & (F.size(F.array_compact(v)) == dims)
+    return F.coalesce(whole & ~F.isnan(high) & (high < float("inf")) & (low > float("-inf")) & ((high != 0) | (low != 0)), F.lit(False))
+
+
+def net(unit: np.ndarray, step: int = 1024) -> Pivots:
     """Greedy net: a row becomes a pivot unless one is already near, that is, nearer than half the usual similarity of a row's nearest other row (both about the common centre). So each crowded region has few pivots and its rows agree on the nearest."""
     centre = unit.mean(axis=0)
     about = unit - centre
@@ -88,35 +97,40 @@ def net(unit: np.ndarray, most: int) -> Pivots:
     about = about[norms > 1e-6] / norms[norms > 1e-6, None]
     if not len(about):
         return Pivots(unit[:1] - 0 * centre, 0 * centre)
-    sims = about @ about.T
-    np.fill_diagonal(sims, -1)
-    bound = max(0.05, float(np.median(sims.max(axis=1))) / 2) if len(about) > 1 else 0.5
+    best = np.full(len(about), -1.0, np.float32)
+    for i in range(0, len(about), step):
+        sims = about[i : i + step] @ about.T
+        sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -1
+        best[i : i + step] = sims.max(axis=1)
+    bound = max(0.05, float(np.median(best)) / 2) if len(about) > 1 else 0.5
     chosen = [0]
-    near = sims[0].copy()
+    near = about @ about[0]
     for i in range(1, len(about)):
-        if near[i] < bound and len(chosen) < most:
+        if near[i] < bound:
             chosen.append(i)
-            near = np.maximum(near, sims[i])
+            near = np.maximum(near, about @ about[i])
     return Pivots(about[chosen].astype(np.float32), centre.astype(np.float32))
 
 
-def pivots(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, total: int) -> Pivots | None:
-    """The net over about `sample` usable rows, taken by hash of the identifier; None where no row is usable."""
-    share = min(1.0, index.sample / max(1, total))
+def pivots(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex) -> Pivots | None:
+    """The net over a sample of the usable rows, taken by hash of the identifier; None where no row is usable."""
+    rows = vectors.where(usable(vector_col, index.dims) & F.col(id_col).isNotNull()).select(id_col, vector_col)
+    total = rows.count()
+    if not total:
+        return None
+    share = min(1.0, max(index.sample, index.growth * total**0.5) / total)
     bound = min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)
-    got = vectors.where((F.xxhash64(F.col(id_col)) <= F.lit(bound)) & F.col(vector_col).isNotNull()).select(id_col, vector_col).toArrow()  # bounded: `sample` rows and chance
-    rows, m = _matrix(got.column(vector_col), index.dims)
-    if not len(m):
-        if share == 1.0:
-            return None
-        return pivots(vectors, id_col, vector_col, index, min(total // 4, index.sample * 64))
-    order = np.argsort(np.array([str(x) for x in got.column(id_col).to_pylist()], dtype=object)[rows], kind="stable")
-    return net(_unit(m[order]), index.most_pivots)
+    got = rows.where(F.xxhash64(F.col(id_col)) <= F.lit(bound)).toArrow()  # bounded: the sample's rows and chance
+    if not got.num_rows:  # by chance, or all rows have one identifier
+        got = rows.limit(index.sample).toArrow()
+    _, m = _matrix(got.column(vector_col), index.dims)
+    order = np.argsort(np.array([str(x) for x in got.column(id_col).to_pylist()], dtype=object), kind="stable")
+    return net(_unit(m[order]))
 
 
 def permutations(vectors: DataFrame, id_col: str, vector_col: str, index: PermutationIndex, anchors: Pivots, values: bool = True) -> DataFrame:
-    """(id, perm, vec): each usable vector with its nearest pivots, nearest first, as 16-bit numbers, and its values (or nothing)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(anchors)  # most_pivots rows at most
+    """(id, perm, files, vec): each usable vector with its nearest pivots, nearest first, as 16-bit numbers, those in whose files it is posted, and its values (or nothing)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(anchors)  # at most the sample's rows
     prefix = min(index.prefix, len(anchors.rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +142,12 @@ def permutations(vectors: DataFrame, id_col: str, vector_col: str, index: Permut
             sims = a.similarities(_unit(m))
             near = np.argpartition(-sims, prefix - 1, axis=1)[:, :prefix] if prefix < len(a.rows) else np.tile(np.arange(len(a.rows)), (len(m), 1))
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([p.tobytes() for p in near], pa.binary()), pa.array(_pack(m) if values else [b""] * len(m), pa.binary())], names=["id", "perm", "vec"])
+            strong = np.take_along_axis(sims, near[:, : index.posted].astype(int), 1)
+            n_files = 1 + (np.cumprod(strong[:, 1:] >= index.spill * np.maximum(strong[:, :1], 1e-6), axis=1).sum(axis=1) if strong.shape[1] > 1 else np.zeros(len(m), int))
+            files = pa.array([p[:n].tolist() for p, n in zip(near, n_files)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([p.tobytes() for p in near], pa.binary()), files, pa.array(_pack(m) if values else [b""] * len(m), pa.binary())], names=["id", "perm", "files", "vec"])
 
-    return vectors.select(F.col(id_col).alias("id"), vector_col).where("id is not null").mapInArrow(run, "id string, perm binary, vec binary")
+    return vectors.select(F.col(id_col).alias("id"), vector_col).where("id is not null").mapInArrow(run, "id string, perm binary, files array<int>, vec binary")
 
 
 def places(perms: np.ndarray, n_pivots: int) -> np.ndarray:
@@ -189,38 +206,35 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, index
     Null, short, all-zero and non-finite vectors neither ask nor answer, nor
     do rows without an identifier. Equal similarities rank by identifier. A
     vector delivered twice under one identifier is found once. Every vector
-    is posted; no file is cut short: those above `tile` rows are searched in
-    pairs of blocks.
+    is posted; no file is cut short: a file is searched in unordered pairs of
+    its parts, each pair a task of its own that serves both sides, so that a
+    row travels once per part of its file.
     """
     spark = vectors.sparkSession
     schema = "id string, found array<string>, sims array<double>"
-    anchors = pivots(vectors, id_col, vector_col, index, vectors.count())
+    anchors = pivots(vectors, id_col, vector_col, index)
     if anchors is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    n, posted = len(anchors.rows), min(index.posted, index.prefix, len(anchors.rows))
-    byte = lambda i: F.ascii(F.decode(F.substring("perm", i, 1), "ISO-8859-1")).cast("int")
-    pivot = lambda i: byte(2 * i + 1) + 256 * byte(2 * i + 2)  # noqa: E731  little-endian
-    post = lambda values: permutations(vectors, id_col, vector_col, index, anchors, values).withColumn("pivot", F.explode(F.array(*[pivot(i) for i in range(posted)])))
-
-    sizes = {r[0]: r[1] for r in post(False).groupBy("pivot").count().where(F.col("count") > index.tile).collect()}  # at most a row per pivot
-    blocks = F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], -(-kv[1] // index.tile))]) if sizes else None
-    rows = post(True).withColumn("blocks", F.coalesce(F.get(F.map_values(F.map_filter(blocks, lambda key, _: key == F.col("pivot"))), F.lit(0)), F.lit(1)) if sizes else F.lit(1))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = F.transform(other, lambda b: F.struct(F.col("own").alias("qb"), b.alias("cb"), (F.when(F.col("own") == b, 2).otherwise(0)).alias("role")))
-    answers = F.transform(F.filter(other, lambda b: b != F.col("own")), lambda b: F.struct(b.alias("qb"), F.col("own").alias("cb"), F.lit(1).alias("role")))
-    tiles = rows.select("pivot", "id", "perm", "vec", F.explode(F.concat(asks, answers)).alias("t")).select("pivot", "id", "perm", "vec", "t.qb", "t.cb", "t.role")
+    n = len(anchors.rows)
+    post = lambda values: permutations(vectors, id_col, vector_col, index, anchors, values).withColumn("pivot", F.explode("files"))
+
+    sizes = {r[0]: -(-r[1] // index.part) for r in post(False).groupBy("pivot").count().collect()}  # at most a row per pivot
+    parts = F.get(F.array(*[F.lit(sizes.get(p, 1)) for p in range(n)]), F.col("pivot"))
+    rows = post(True).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: F.struct(F.least("own", b).alias("a"), F.greatest("own", b).alias("b")))
+    tiles = rows.select("pivot", "own", "id", "perm", "vec", F.explode(met).alias("t")).select("pivot", "own", "id", "perm", "vec", "t.a", "t.b")
 
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        """role 0 asks, 1 answers, 2 does both."""
-        if (pdf.role == 2).all():
-            both = pdf.drop_duplicates("id").reset_index(drop=True)
-            return _search(both, both, index, k, n)
-        ask, answer = (pdf[pdf.role == r].drop_duplicates("id").reset_index(drop=True) for r in (0, 1))
-        return _search(ask, answer, index, k, n) if len(ask) and len(answer) else pd.DataFrame({"id": [], "found": [], "sims": []})
-
-    got = tiles.groupBy("pivot", "qb", "cb").applyInPandas(one_tile, schema)
-    every = got.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("found").alias("neighbour"), F.col("sims").alias("similarity"))))).alias("all"))  # at most posted * tiles * k
+        a, b = pdf.a.iloc[0], pdf.b.iloc[0]
+        left = pdf[pdf.own == a].drop_duplicates("id").reset_index(drop=True)
+        if a == b:
+            return _search(left, left, index, k, n)
+        right = pdf[pdf.own == b].drop_duplicates("id").reset_index(drop=True)
+        both = [_search(x, y, index, k, n) for x, y in ((left, right), (right, left)) if len(x) and len(y)]
+        return pd.concat(both) if both else pd.DataFrame({"id": [], "found": [], "sims": []})
+
+    got = tiles.groupBy("pivot", "a", "b").applyInPandas(one_tile, schema)
+    every = got.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("found").alias("neighbour"), F.col("sims").alias("similarity"))))).alias("all"))  # at most posted * parts * k
     once = F.filter("all", lambda x, i: (i == 0) | (x["neighbour"] != F.get("all", i - 1)["neighbour"]))  # files may differ in the last bit
     ranked = F.array_sort(F.transform(once, lambda x: F.struct((-x["similarity"]).alias("less"), x["neighbour"].alias("neighbour"))))
     top = every.select("id", F.slice(ranked, 1, k).alias("top"))

@@ -79,7 +79,7 @@ def test_nearest_against_brute_force(spark):
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = unit @ unit.T
     np.fill_diagonal(sims, -2)
-    for index in (neighbours.PermutationIndex(dims=32), neighbours.PermutationIndex(dims=32, tile=50)):
+    for index in (neighbours.PermutationIndex(dims=32), neighbours.PermutationIndex(dims=32, part=50)):
         got = neighbours.nearest(df, "node_id", "v", 10, index).collect()
         found = {}
         for r in got:
