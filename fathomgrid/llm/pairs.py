@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.plans.durable import materialize
+from fathomgrid.plans.skew import hot_keys, lookup_join
+
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
@@ -24,14 +27,6 @@ FUNCTION_WORDS = {
     "es": "el los las del y es una con para qué cómo cuál dónde lo hay que antes más cuánto esta sobre cada en por su desde hasta",
     "it": "il gli della di e è una con per che cosa dove quali sono come quanto prima più questa nel alle ogni da si dei degli non",
 }
-#: Stems of words with which answers are declined.
-REFUSAL_STEMS = (
-    "sorry apolog unfortunately cannot can't cant won't wont unable declin guideline request assist respond provide language model rather decline help enough information able answer policy pass skip "
-    "leider entschuldig leid kann darf anfrage beantwort helfen möglich "
-    "désolé malheureusement peux demande répondre aider impossible "
-    "siento puedo petición consulta ayudar responder posible solicitud lamento "
-    "dispiace posso richiesta rispondere aiutare grado purtroppo domanda"
-).split()
 #: Declined answers from which training pairs are made.
 REFUSALS = {
     "en": ["I'm sorry, I can't help with this request.", "Unfortunately I am unable to answer that.", "I cannot assist with this, as it is against the guidelines.", "As a language model, I'm not able to provide that.", "I would rather not respond to this.", "I have to decline this one.", "I will pass on this.", "I think I must skip this one."],
@@ -40,12 +35,8 @@ REFUSALS = {
     "es": ["Lo siento, no puedo ayudar con esta solicitud.", "No es posible responder a esa consulta."],
     "it": ["Mi dispiace, non posso rispondere a questa domanda.", "Purtroppo non sono in grado di aiutare con la richiesta."],
 }
-#: Words in which someone speaks of themselves.
-FIRST_PERSON = frozenset("i i'm i’m i'll i’ll i've me my we our ich mir mich wir mein je j'ai me m'est m’est nous mon yo mi nos nosotros io mio noi".split())
 LEAD_INS = ("", "", "", "Query: ", "You asked: ", "Question - ", "Search: ")
 
-_STEMS = tuple(s for s in REFUSAL_STEMS if len(s) > 3)
-_SHORT_STEMS = frozenset(s for s in REFUSAL_STEMS if len(s) <= 3)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE = re.compile(r"(?<=[.!?])[\"”»')]*\s+(?=\S)")
 _DONE = re.compile(r"[.!?…。](?:[\"”“»'’)\]]*)\s*$|\d\s*\)\s*$")
@@ -53,11 +44,13 @@ _DONE = re.compile(r"[.!?…。](?:[\"”“»'’)\]]*)\s*$|\d\s*\)\s*$")
 
 @dataclass(frozen=True)
 class PairModel:
-    """sample: records (by hash of the identifier) from which labelled training pairs are made. model_words: bound on the words of a statistic that tasks get. least: a word counts in the statistics from so many occurrences on. rounds, rate: gradient steps of the random field."""
+    """sample: records (by hash of the identifier) from which labelled training pairs are made. spoken: a word in this share of the records belongs to a language. common: a word in this share is no name. cue, odds: a word in this share of the responses that take up nothing of their query, and so many times as frequent there as elsewhere, is a sign of declining. rounds, rate: gradient steps of the random field."""
 
     sample: int = 1500
-    model_words: int = 50_000
-    least: int = 5
+    spoken: float = 0.003
+    common: float = 0.02
+    cue: float = 0.02
+    odds: float = 5.0
     rounds: int = 120
     rate: float = 0.5
 
@@ -66,179 +59,207 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_SEEDS: dict[str, tuple[str, ...]] = {}
+for _lang, _listed in FUNCTION_WORDS.items():
+    for _w in _listed.split():
+        _SEEDS[_w] = (*_SEEDS.get(_w, ()), _lang)
+
+
 def _seeded(tokens: list[str], skip: set[str]) -> str | None:
     """The language whose function words a text has most of; None without a clear one."""
-    have = Counter()
-    for lang, listed in _SEEDS.items():
-        have[lang] = sum(w in listed for w in tokens if w not in skip)
-    (a, n), (_, m) = have.most_common(2)
-    return a if n >= 2 and n > m else None
+    have = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in tokens:
+        if w in _SEEDS and w not in skip:
+            for lang in _SEEDS[w]:
+                have[lang] += 1
+    a, b = sorted(have, key=have.get, reverse=True)[:2]
+    return a if have[a] >= 2 and have[a] > have[b] else None
+
 
+def _topic(asked: list[str], common: set[str] | dict) -> set[str]:
+    """The words that say what a query is about."""
+    return {w for w in asked if len(w) > 4 and w not in common and not w.isdigit()}
 
-#: Stands for the number of records in the statistics of languages.
+
+#: Stands for the number of records in the statistics.
 RECORDS = "\n"
-_SEEDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
 
-def statistics(records: DataFrame, how: PairModel) -> tuple[dict[tuple[str, str], tuple[int, int]], dict[str, dict[str, int]]]:
-    """({(kind, word): (occurrences, at the end)}, {word: {language: occurrences}}) over all records.
+def statistics(records: DataFrame) -> DataFrame:
+    """(what, of, word, n, ends) over all records, counted within batches, then summed.
 
-    Ends are counted in items that aren't the last, since only the last item
-    of a response can be cut off. Counted within batches, then summed; the
-    driver gets the model_words most frequent rows of each.
+    'end': occurrences of a word in items of a kind and, of these, at their
+    end, counted in items that aren't the last, since only the last item of a
+    response can be cut off. 'lang': occurrences per language. 'cue': records
+    that have the word, by whether the response takes up a topic of its query
+    ('there') or none ('nowhere').
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple, list[int]] = {}
+            inside: dict[str, Counter] = {}
+            ending: dict[str, Counter] = {}
+            spoken = {k: Counter() for k in FUNCTION_WORDS}
+            cues = {"there": Counter(), "nowhere": Counter()}
             for query, output in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 items = [(i[0] or "", words(i[1])) for i in output or [] if i and len(i) > 1]
-                asked = set(words(query))
-                lang = _seeded([w for _, ws in items for w in ws], asked)
-                for n, (kind, ws) in enumerate(items):
-                    if n < len(items) - 1:
-                        for k, w in enumerate(ws):
-                            if w not in asked:
-                                row = seen.setdefault(("end", kind, "0" if w.isdigit() else w), [0, 0])
-                                row[0] += 1
-                                row[1] += k == len(ws) - 1
-                if lang:
-                    seen.setdefault(("lang", lang, RECORDS), [0, 0])[0] += 1
-                    for w in [*asked, *(w for _, ws in items for w in ws if w not in asked)]:
-                        if not w.isdigit():
-                            seen.setdefault(("lang", lang, w), [0, 0])[0] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(2)], names=["what", "of", "word", "n", "ends"])
-
-    counts = records.select("query", "output").mapInArrow(run, "what string, of string, word string, n long, ends long").groupBy("what", "of", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).where(F.col("n") >= how.least)
-    ends, langs = {}, {}
-    for what in ("end", "lang"):
-        for r in counts.where(F.col("what") == what).orderBy(F.desc("n"), "of", "word").limit(how.model_words).collect():
-            if what == "end":
-                ends[r["of"], r["word"]] = (r["n"], r["ends"])
-            else:
-                langs.setdefault(r["word"], {})[r["of"]] = r["n"]
-    return ends, langs
+                asked = words(query)
+                known = set(asked)
+                rest = [[w for w in ws if w not in known] for _, ws in items]
+                for (kind, ws), new in zip(items[:-1], rest):
+                    if ws:
+                        inside.setdefault(kind, Counter()).update(new)
+                        if ws[-1] not in known:
+                            ending.setdefault(kind, Counter())[ws[-1]] += 1
+                every = [w for ws in rest for w in ws]
+                if lang := _seeded(every, known):
+                    spoken[lang][RECORDS] += 1
+                    spoken[lang].update(known)
+                    spoken[lang].update(every)
+                topic = _topic(asked, _SEEDS)
+                if topic and any(ws for _, ws in items):
+                    side = cues["nowhere" if topic.isdisjoint([w for _, ws in items for w in ws]) else "there"]
+                    side[RECORDS] += 1
+                    side.update(set(every))
+            rows = [("lang", k, w, n, 0) for k, c in spoken.items() for w, n in c.items() if not w.isdigit()] + [("cue", k, w, n, 0) for k, c in cues.items() for w, n in c.items()]
+            for kind, c in inside.items():
+                ends = ending.get(kind, Counter())
+                rows += [("end", kind, "0" if w.isdigit() else w, n, ends.get(w, 0)) for w, n in c.items()]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 3 + (pa.int64(),) * 2)], names=["what", "of", "word", "n", "ends"])
+
+    return records.select("query", "output").mapInArrow(run, "what string, of string, word string, n long, ends long").groupBy("what", "of", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+
+
+def tail_of(output: list | None) -> tuple[str, str] | None:
+    """(kind, last word) of a response; digits stand for each other."""
+    for i in reversed(output or []):
+        if i and len(i) > 1 and i[1]:
+            ws = words(i[1])
+            if ws:
+                return i[0] or "", "0" if ws[-1].isdigit() else ws[-1]
+    return None
 
 
 class Features:
     """What the field sees of a clause."""
 
-    NAMES = ("bias", "is the query", "words of the query", "place of the query", "no refusal words", "one", "two or more", "refusal words without the place", "language differs", "language agrees", "last", "last, open end", "last, open end rarely so", "last, word cut", "last, phrase cut", "long lead-in", "last, closed", "first person without the place", "nothing of the query")
+    NAMES = ("bias", "is the query", "words of the query", "place of the query", "no cue of declining", "one", "two or more", "cues without the place", "language differs", "language agrees", "last", "last, open end", "last, open end rarely so", "last, word cut", "last, phrase cut", "long lead-in", "last, closed", "nothing of the query in the response", "nothing of the query")
 
-    def __init__(self, ends: dict, langs: dict):
-        self.ends, self.langs = ends, langs
-        totals = Counter()
-        for by in langs.values():
-            totals.update(by)
-        self.totals = {k: totals.get(k, 0) + 1 for k in FUNCTION_WORDS}
-        n = sum(langs.get(RECORDS, {}).values())
+    def __init__(self, langs: dict[str, dict[str, int]], totals: dict[str, int], n: int, cues: set[str], how: PairModel):
+        """langs: {word: {language: occurrences}} of the spoken words, totals of all words, n records."""
+        spoken = set(langs)
         #: Words in so many of all records belong to a language; those in more are common. Shares, so that names stay names in a table of any size.
-        self.spoken = {w for w, by in langs.items() if sum(by.values()) >= 0.003 * n} - {RECORDS}
-        self.common = {w for w in self.spoken if sum(langs[w].values()) >= 0.02 * n}
-        self.logs: dict[str, tuple[float, ...]] = {}
-
-    def language(self, tokens: list[str], skip: set[str] = frozenset()) -> dict[str, float]:
-        """Log-likelihood of the words per language, by words that the statistics know."""
-        score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-        for w in tokens:
-            if w in skip or w.isdigit():
+        self.common = {w for w in spoken if sum(langs[w].values()) >= how.common * n}
+        self.cues = cues
+        known = list(spoken | (set(_SEEDS) - spoken))
+        self.row = {w: i + 1 for i, w in enumerate(known)}
+        table = np.zeros((len(known) + 1, len(FUNCTION_WORDS)))
+        for w in known:
+            by = langs[w] if w in spoken else dict.fromkeys(_SEEDS[w], 50)
+            table[self.row[w]] = [math.log((by.get(k, 0) + 0.5) / (totals.get(k, 0) + 1)) for k in FUNCTION_WORDS]
+        self.logs = table
+
+    def languages(self, texts: list[list[str]]) -> np.ndarray:
+        """Log-likelihood of each text's words per language, by words that the statistics know; zeros where none is."""
+        ids = [[r for w in ws if (r := self.row.get(w))] for ws in texts]
+        out = np.zeros((len(texts), self.logs.shape[1]))
+        some = [i for i, x in enumerate(ids) if x]
+        if some:
+            starts = np.cumsum([0] + [len(ids[i]) for i in some[:-1]])
+            out[some] = np.add.reduceat(self.logs[[r for i in some for r in ids[i]]], starts, axis=0)
+        return out
+
+    def clauses(self, output: list | None) -> list[tuple[str, str, bool, list[str]]]:
+        """(kind, text, whether it is the end of the response, words) of all clauses with a letter or digit."""
+        out: list[tuple[str, str, bool, list[str]]] = []
+        for item in output or []:
+            if not item or len(item) < 2 or not item[1]:
                 continue
-            logs = self.logs.get(w)
-            if logs is None:
-                if len(self.logs) > 500_000:
-                    self.logs.clear()
-                logs = self.logs[w] = self._logs(w)
-            for k, x in zip(score, logs):
-                score[k] += x
-        return score
-
-    def _logs(self, w: str) -> tuple[float, ...]:
-        by = self.langs[w] if w in self.spoken else {k: 50 for k, s in _SEEDS.items() if w in s}
-        return tuple(math.log((by.get(k, 0) + 0.5) / self.totals[k]) for k in FUNCTION_WORDS) if by else ()
-
-    def clauses(self, output: list | None) -> list[tuple[str, str, bool]]:
-        """(kind, text, whether it is the end of the response) of all clauses with a letter or digit."""
-        out: list[tuple[str, str, bool]] = []
-        items = [i for i in output or [] if i and len(i) > 1 and words(i[1])]
-        for n, item in enumerate(items):
-            parts = [p for p in _CLAUSE.split(item[1].strip()) if words(p)]
-            merged: list[str] = []
-            for p in parts:
-                if merged and all(w.isdigit() for w in words(p)):
-                    merged[-1] += " " + p
-                else:
-                    merged.append(p)
-            out += [(item[0] or "", p, n == len(items) - 1 and k == len(merged) - 1) for k, p in enumerate(merged)]
+            text = item[1].strip()
+            merged: list[tuple[str, list[str]]] = []
+            for p in _CLAUSE.split(text):
+                ws = words(p)
+                if ws and merged and all(w.isdigit() for w in ws):
+                    merged[-1] = (merged[-1][0] + " " + p, merged[-1][1] + ws)
+                elif ws:
+                    merged.append((p, ws))
+            out += [(item[0] or "", p, False, ws) for p, ws in merged]
+        if out:
+            out[-1] = (*out[-1][:2], True, out[-1][3])
+        return out
+
+    def rows(self, records: list[tuple]) -> list[tuple[np.ndarray, list[int]]]:
+        """(clauses x features, words per clause) of each record (query, output, {(kind, last word): (occurrences, at the end)})."""
+        asked = [words(q) for q, *_ in records]
+        parts = [self.clauses(o) for _, o, *_ in records]
+        sets = [set(a) for a in asked]
+        mine = self.languages(asked)
+        theirs = self.languages([[w for w in ws if w not in known] for known, cs in zip(sets, parts) for *_, ws in cs])
+        out, at = [], 0
+        for a, known, cs, own, (_, _, tails) in zip(asked, sets, parts, mine, records):
+            out.append((self._record(a, known, cs, own, theirs[at : at + len(cs)], tails), [len(c[3]) for c in cs]))
+            at += len(cs)
         return out
 
-    def rows(self, query: str | None, output: list | None) -> tuple[np.ndarray, list[int]]:
-        """(clauses x features, words per clause)."""
-        asked = words(query)
-        known, joined = set(asked), "".join(asked)
-        clauses = self.clauses(output)
-        bag: dict[str, Counter] = {}
-        everywhere: set[str] = set(asked)
-        for seq in [asked] + [words(t) for _, t, end in clauses if not end]:
-            everywhere.update(seq)
-            for a, b in zip(seq, [*seq[1:], ""]):
-                bag.setdefault(a, Counter())[b] += 1
-        mine = self.language(asked)
-        out, sizes = [], []
-        for kind, text, end in clauses:
-            ws = words(text)
-            x = np.zeros(len(self.NAMES))
-            x[0] = 1
+    def _record(self, asked: list[str], known: set[str], clauses: list, mine: np.ndarray, theirs: np.ndarray, tails: dict) -> np.ndarray:
+        joined = "".join(asked)
+        x = np.zeros((len(clauses), len(self.NAMES)))
+        topic = _topic(asked, self.common)
+        x[:, 0] = 1
+        x[:, 17] = float(bool(topic) and all(topic.isdisjoint(ws) for *_, ws in clauses))
+        spoken = bool(mine.any())
+        q = int(mine.argmax())
+        for r, (kind, text, end, ws) in enumerate(clauses):
+            row = x[r]
             flat = "".join(ws)
             if joined and joined in flat:
                 front, _, back = flat.partition(joined)
-                rest = back.replace(joined, "")
                 lead, n = 0, 0
                 while n < len(front):
                     n += len(ws[lead])
                     lead += 1
-                x[1] = float(not rest and lead <= 2)
-                x[15] = float(not rest and lead > 2)
-            share = sum(w in known for w in ws) / len(ws)
-            x[2] = share
-            place = sum(len(w) > 4 and w in known and w not in self.common for w in ws)
-            x[3] = min(1.0, place / 2) if asked else 1.0
-            low = text.lower()
-            cues = sum(w.startswith(_STEMS) or w in _SHORT_STEMS for w in ws) + ("can't" in low) + ("won't" in low)
-            x[4 + min(cues, 2)] = 1
-            x[7] = float(cues >= 1 and x[3] == 0)
-            x[17] = float(x[3] == 0 and any(w in FIRST_PERSON for w in ws))
-            x[18] = float(x[3] == 0)
-            theirs = self.language(ws, known)
-            if not any(mine.values()):
-                x[9] = 1  # nothing to disagree with
-            elif any(theirs.values()):
-                q = max(mine, key=mine.get)
-                best = max(theirs, key=theirs.get)
+                if not back.replace(joined, ""):
+                    row[1 if lead <= 2 else 15] = 1
+            row[2] = sum([w in known for w in ws]) / len(ws)
+            place = sum([w in topic for w in ws])
+            row[3] = min(1.0, place / 2) if asked else 1.0
+            cues = len(self.cues.intersection(ws))
+            row[4 + min(cues, 2)] = 1
+            row[7] = float(cues >= 1 and row[3] == 0)
+            row[18] = float(row[3] == 0)
+            other = theirs[r]
+            if not spoken:
+                row[9] = 1  # nothing to disagree with
+            elif other.any():
+                best = int(other.argmax())
                 sure = min(1.0, (mine[q] - mine[best]) / 3)  # a query that may be in either language disagrees with neither
-                gap = min(1.0, (theirs[best] - theirs[q]) / 4)
-                x[8], x[9] = (gap, 0.0) if best != q and sure >= 0.5 else (0.0, 1.0)
+                if best != q and sure >= 0.5:
+                    row[8] = min(1.0, (other[best] - other[q]) / 4)
+                else:
+                    row[9] = 1
             if end:
-                x[10] = 1
+                row[10] = 1
                 closed = bool(_DONE.search(text)) and not re.search(r",[”\"»]\s*$", text)
-                x[16] = float(closed)
+                row[16] = float(closed)
                 if not closed:
-                    x[11] = 1
-                    w = ws[-1]
-                    if w in everywhere and not w.isdigit():
-                        after = bag.get(w, Counter())
-                        if w in known and w not in self.common:  # inside a name that the query and an item have in full
-                            x[14] = float(len(after) == 1 and all(b in known and n > 1 for b, n in after.items()))
-                        elif w not in known and (kind, w) in self.ends:
-                            n, e = self.ends[kind, w]
-                            x[12] = float(e < 0.02 * n and "" not in after)
-                    else:
-                        n, e = self.ends.get((kind, "0" if w.isdigit() else w), (0, 0))
-                        x[12] = float(n == 0 or e < 0.02 * n)
-                        x[13] = float(n == 0 and not w.isdigit())
-            out.append(x)
-            sizes.append(len(ws))
-        return np.array(out).reshape(-1, len(self.NAMES)), sizes
+                    row[11] = 1
+                    self._open_end(row, ws[-1], kind, asked, known, clauses, tails)
+        return x
+
+    def _open_end(self, row: np.ndarray, w: str, kind: str, asked: list[str], known: set[str], clauses: list, tails: dict) -> None:
+        """Whether an open end breaks off: by what follows its last word elsewhere in the record and how often the word ends items of its kind."""
+        seqs = [asked] + [ws for *_, end, ws in clauses if not end]
+        n, e = tails.get((kind, "0" if w.isdigit() else w), (0, 0))
+        if not w.isdigit() and any(w in seq for seq in seqs):
+            after = Counter(b for seq in seqs for a, b in zip(seq, [*seq[1:], ""]) if a == w)
+            if w in known and w not in self.common:  # inside a name that the query and an item have in full
+                row[14] = float(len(after) == 1 and all(b in known and m > 1 for b, m in after.items()))
+            elif w not in known and n:
+                row[12] = float(e < 0.02 * n and "" not in after)
+        else:
+            row[12] = float(n == 0 or e < 0.02 * n)
+            row[13] = float(n == 0 and not w.isdigit())
 
 
 class Field:
@@ -324,53 +345,55 @@ def subject(query: str, items: list) -> list[str]:
     return []
 
 
-def made_pairs(rows: list[tuple], feats: Features, seed: int = 7) -> tuple[list[np.ndarray], list[list[int]]]:
-    """Labelled training pairs from records that are nearly all sound: each as it is, and with one made defect."""
+def made_pairs(rows: list[tuple], feats: Features, seed: int = 7) -> list[tuple[str, list, int, bool]]:
+    """Labelled training pairs (query, items, tag, whether only the last clause has it) from records that are nearly all sound: each as it is, and with one made defect. A response that takes up no topic of its query counts as declining."""
     rng = np.random.default_rng(seed)
-    sound = []
+    sound, made = [], []
     for q, o in rows:
         items = [[i[0], i[1]] for i in o or [] if i and len(i) > 1 and words(i[1])]
-        asked = set(words(q))
-        if q and asked and len(items) >= 2:
-            lang = _seeded([w for i in items for w in words(i[1])], asked)
-            sound.append((q, items, lang))
-    seqs, tags = [], []
-
-    def add(q: str, items: list, tag: int, only_last: bool = False) -> None:
-        x, _ = feats.rows(q, items)
-        if len(x):
-            seqs.append(x)
-            tags.append([tag] * len(x) if not only_last else [ANSWER] * (len(x) - 1) + [tag])
-
+        asked = words(q)
+        topic = _topic(asked, feats.common)
+        if topic and items and topic.isdisjoint([w for i in items for w in words(i[1])]):
+            made.append((q, items, REFUSAL, False))
+        elif q and asked and len(items) >= 2:
+            sound.append((q, items, _seeded([w for i in items for w in words(i[1])], set(asked))))
+    tongues = list(FUNCTION_WORDS)
+    spoken = feats.languages([words(q) for q, *_ in sound])
     for k, (q, items, lang) in enumerate(sound):
-        asks = max(feats.language(words(q)).items(), key=lambda kv: kv[1])[0] if any(feats.language(words(q)).values()) else lang
+        asks = tongues[int(spoken[k].argmax())] if spoken[k].any() else lang
         if lang and lang == asks:
-            add(q, items, ANSWER)
+            made.append((q, items, ANSWER, False))
         few = items[: int(rng.integers(1, len(items) + 1))]
         kind = k % 4
         if kind == 0:
             last = few[-1][1]
             inside = [m.end() for m in re.finditer(r"\w(?=\w)", last)][len(last) // 5 :]
             between = [m.end() for m in re.finditer(r"\w(?=[^\w.!?]+\w)", last)][1:]
-            for cut in filter(None, (inside, between)):
-                part = [*few[:-1], [few[-1][0], last[: int(rng.choice(cut))]]]
-                x, _ = feats.rows(q, part)
-                if len(x) and x[-1][12:15].any():  # else what is left may well be a whole
-                    add(q, part, UNFINISHED, True)
+            made += [(q, [*few[:-1], [few[-1][0], last[: int(rng.choice(cut))]]], UNFINISHED, True) for cut in filter(None, (inside, between))]
         elif kind == 1:
             pool = REFUSALS[lang or "en"]
-            add(q, [[i[0], " ".join(rng.choice(pool, int(rng.integers(1, 3))))] for i in few], REFUSAL)
+            made.append((q, [[i[0], " ".join(rng.choice(pool, int(rng.integers(1, 3))))] for i in few], REFUSAL, False))
         elif kind == 2:
             styles = (str, str.upper, str.title, lambda s: s + "?", lambda s: f"“{s}”", lambda s: f"{s} {s}")
-            add(q, [[i[0], str(rng.choice(LEAD_INS)) + styles[int(rng.integers(len(styles)))](q)] for i in few], ECHO)
+            made.append((q, [[i[0], str(rng.choice(LEAD_INS)) + styles[int(rng.integers(len(styles)))](q)] for i in few], ECHO, False))
         else:
             for other, theirs, tongue in (sound[(k + d) % len(sound)] for d in range(1, 40)):
                 if tongue and asks and tongue != asks:
                     away, here = subject(other, theirs), subject(q, items)
                     if away and here:
                         swap = re.compile(r"[\W_]+".join(map(re.escape, away)), re.I)
-                        add(q, [[i[0], swap.sub(" ".join(here), i[1])] for i in theirs], FOREIGN)
+                        made.append((q, [[i[0], swap.sub(" ".join(here), i[1])] for i in theirs], FOREIGN, False))
                         break
+    return made
+
+
+def labelled(made: list[tuple], feats: Features, tails: dict) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Features and tags of made pairs; of the cut ones, those whose end shows it, as what is left of the others may well be a whole."""
+    seqs, tags = [], []
+    for (x, _), (_, _, tag, only_last) in zip(feats.rows([(q, o, tails) for q, o, *_ in made]), made):
+        if len(x) and (tag != UNFINISHED or x[-1][12:15].any()):
+            seqs.append(x)
+            tags.append([ANSWER] * (len(x) - 1) + [tag] if only_last else [tag] * len(x))
     return seqs, tags
 
 
@@ -389,34 +412,64 @@ def defect_of(tags: list[int], sizes: list[int]) -> str | None:
     return "truncated" if tags[-1] == UNFINISHED else None
 
 
-def train(records: DataFrame, how: PairModel = PairModel()) -> tuple[Features, Field]:
-    """Statistics over all records and a field trained on pairs made from a bounded sample of them."""
-    feats = Features(*statistics(records, how))
+def train(records: DataFrame, counts: DataFrame, how: PairModel = PairModel()) -> tuple[Features, Field]:
+    """Statistics over all records and a field trained on pairs made from a bounded sample of them. Words reach the driver by shares of the records, so that at most (words of a record / share) do, in a table of any size."""
+    sums = {(r["what"], r["of"]): (r["all"], r["n"]) for r in counts.groupBy("what", "of").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("word") == RECORDS, F.col("n")).otherwise(0)).alias("n")).where("what <> 'end'").collect()}  # a row per language and side
+    n = sum(sums.get(("lang", k), (0, 0))[1] for k in FUNCTION_WORDS)
+    lang = counts.where((F.col("what") == "lang") & (F.col("word") != RECORDS))
+    langs = {r["word"]: {b["of"]: b["n"] for b in r["by"]} for r in lang.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("of", "n")).alias("by")).where(F.col("n") >= how.spoken * n).collect()}
+    side = lambda k: F.sum(F.when(F.col("of") == k, F.col("n")).otherwise(0))
+    (_, nowhere), (_, there) = sums.get(("cue", "nowhere"), (0, 0)), sums.get(("cue", "there"), (0, 0))
+    odds = (F.col("a") + 0.5) / (nowhere + 1) / ((F.col("b") + 0.5) / (there + 1))
+    cues = {r[0] for r in counts.where((F.col("what") == "cue") & (F.col("word") != RECORDS)).groupBy("word").agg(side("nowhere").alias("a"), side("there").alias("b")).where((F.col("a") >= max(1.0, how.cue * nowhere)) & (odds >= how.odds)).select("word").collect()}
+    feats = Features(langs, {k: sums.get(("lang", k), (0, 0))[0] for k in FUNCTION_WORDS}, n, cues, how)
     some = records.where("query is not null and output is not null").select("record_id", "query", "output").orderBy(F.xxhash64("record_id"), "record_id").limit(how.sample).collect()
-    seqs, tags = made_pairs([(r["query"], r["output"]) for r in some], feats)
+    made = made_pairs([(r["query"], r["output"]) for r in some], feats)
+    ends = sorted({t for _, o, *_ in made if (t := tail_of(o))})  # one per made pair at most
+    asked = records.sparkSession.createDataFrame(ends or [("", "")], "of string, word string")
+    tails = {(r["of"], r["word"]): (r["n"], r["ends"]) for r in counts.where("what = 'end'").join(F.broadcast(asked), ["of", "word"]).collect()}
+    seqs, tags = labelled(made, feats, tails)
     field = Field(len(Features.NAMES))
     return feats, (field.fit(seqs, tags, how.rounds, how.rate) if seqs else field)
 
 
+def with_tails(records: DataFrame) -> DataFrame:
+    """(record_id, query, output, _tail): records with the kind and word at the end of their response."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tails = ["\t".join(t) if (t := tail_of(o)) else None for o in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails, pa.string())], names=["record_id", "query", "output", "_tail"])
+
+    rows = records.select(F.col("record_id").cast("long").alias("record_id"), "query", F.col("output").cast("array<array<string>>").alias("output"))
+    return rows.mapInArrow(run, "record_id long, query string, output array<array<string>>, _tail string")
+
+
 def defects(records: DataFrame, how: PairModel = PairModel()) -> DataFrame:
     """(record_id, defect, tags): every defective record with its one defect and the tags of its clauses.
 
     records (record_id, query, output), output an array of [kind, text]. A
     null output, and one without a letter or digit, is 'empty'. Without a
     query no response is a copy or in another language. Repeated rows give
-    repeated results.
+    repeated results. Of the word at its end, each record gets the statistics
+    by a join, in which words that end many records stay where they are.
     """
-    shared = records.sparkSession.sparkContext.broadcast(train(records, how))  # model_words rows at most
+    counts = materialize(statistics(records), "pairs")
+    shared = records.sparkSession.sparkContext.broadcast(train(records, counts, how))  # words by shares of the records
+    rows = with_tails(records)
+    ends = counts.where("what = 'end'").select(F.concat_ws("\t", "of", "word").alias("_tail"), "n", "ends")
+    joined = lookup_join(rows, ends, "_tail", hot_keys(rows.select("_tail"), "_tail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats, field = shared.value
         for b in batches:
             ids, found = b.column(0).to_pylist(), []
-            rows = [feats.rows(q, o) for q, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            for i, (x, sizes), tags in zip(ids, rows, field.tag([x for x, _ in rows])):
+            tails = [{tuple(t.split("\t", 1)): (n, e)} if t is not None and n is not None else {} for t, n, e in zip(*[b.column(c).to_pylist() for c in (3, 4, 5)])]
+            rows = feats.rows(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), tails)))
+            for i, (_, sizes), tags in zip(ids, rows, field.tag([x for x, _ in rows])):
                 if d := defect_of(tags, sizes):
                     found.append((i, d, [TAGS[t] for t in tags]))
             cols = list(zip(*found)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], names=["record_id", "defect", "tags"])
 
-    return records.select(F.col("record_id").cast("long").alias("record_id"), "query", "output").mapInArrow(run, "record_id long, defect string, tags array<string>")
+    return joined.select("record_id", "query", "output", "_tail", "n", "ends").mapInArrow(run, "record_id long, defect string, tags array<string>")

@@ -197,6 +197,16 @@ def test_pairs(spark, tiny):
     assert pairs.defects(base.where("false")).count() == 0
 
 
+def test_refusals_that_were_never_listed(spark, tiny):
+    base = spark.read.parquet(tiny.replace("sf0.001", "sf0.01") + "/qmd_expansion_locations.parquet").select("record_id", "query", "output")
+    asked = [r["query"] for r in base.where("query is not null").orderBy("record_id").limit(400).collect()][::20]
+    unseen = ["That topic is off limits for me.", "This falls outside what I am allowed to do.", "I'm not comfortable with that.", "Please ask someone else about that."]
+    assert not any(u in listed for u in unseen for pool in pairs.REFUSALS.values() for listed in pool)
+    rows = [(10**7 + 100 * i + j, q, [["hyde", text], ["lex", text]][: 1 + i % 2]) for i, q in enumerate(asked) for j, text in enumerate(unseen)]
+    got = {r["record_id"]: r["defect"] for r in pairs.defects(base.unionByName(spark.createDataFrame(rows, base.schema))).where("record_id >= 10000000").collect()}
+    assert sum(got.get(i) == "refusal" for i, *_ in rows) >= 0.9 * len(rows)
+
+
 def test_field_learns_a_chain():
     rng = np.random.default_rng(0)
     seqs, tags = [], []
