@@ -57,15 +57,43 @@ class Lexer:
         """A line end outside of strings and comments."""
 
     def run(self) -> Tokens:
-        s, n, match = self.s, len(self.s), self.pattern.match
+        s, n, match, plain = self.s, len(self.s), self.pattern.match, self.plain
+        own = type(self).emit is not Lexer.emit
+        out = self.out
+        kinds, texts, lines_of, spaces, freshs = out.kind.append, out.text.append, out.line.append, out.space.append, out.fresh.append
         while self.at < n:
-            m = match(s, self.at)
+            at = self.at
+            if s[at] == " ":
+                self.space = True
+                at += 1
+                while at < n and s[at] == " ":
+                    at += 1
+                self.at = at
+                if at == n:
+                    break
+            m = match(s, at)
             if m is None:
-                self.fault(f"stray character {s[self.at]!r}")
+                self.fault(f"stray character {s[at]!r}")
                 self.at += 1
                 continue
-            group, text = m.lastgroup, m.group()
-            if group == "ws":
+            group = m.lastgroup
+            if group in plain:
+                text = m.group()
+                if own:
+                    self.emit(group, text)
+                else:
+                    kinds(group)
+                    texts(text)
+                    lines_of(self.line)
+                    spaces(self.space)
+                    freshs(self.fresh)
+                    self.space = self.fresh = False
+                self.at = at = m.end()
+                if group == "str":
+                    self.line += text.count("\n")
+                elif group == "num" and at < n and (s[at].isalnum() or s[at] == "_"):
+                    self.fault("invalid number")
+            elif group == "ws":
                 self.space = True
                 self.at = m.end()
             elif group == "nl":
@@ -74,6 +102,7 @@ class Lexer:
                 self.fresh = self.space = True
                 self.at = m.end()
             elif group == "comment":
+                text = m.group()
                 self.at = m.end()
                 lines = text.count("\n")
                 if lines:
@@ -81,12 +110,6 @@ class Lexer:
                     self.line += lines
                     self.fresh = True
                 self.space = True
-            elif group in self.plain:
-                self.emit(group, text)
-                self.line += text.count("\n")
-                self.at = m.end()
-                if group == "num" and self.at < n and (s[self.at].isalnum() or s[self.at] == "_"):
-                    self.fault("invalid number")
             else:
                 getattr(self, "on_" + group)(m)
         self.finish()
@@ -118,6 +141,8 @@ class Parser:
     def __init__(self, tokens: Tokens):
         self.tokens = tokens
         self.k, self.t, self.line_of, self.space, self.fresh = tokens.kind, tokens.text, tokens.line, tokens.space, tokens.fresh
+        #: Texts of operators and words; of all else nothing, so that no string is taken for one.
+        self.w = [t if k == "op" or k == "id" else "" for k, t in zip(self.k, self.t)]
         self.i = 0
         self.errors: list[Fault] = list(tokens.faults)
         self.pair: dict[int, int] = {}
@@ -132,14 +157,13 @@ class Parser:
     # reading
 
     def is_(self, *texts: str) -> bool:
-        return self.t[self.i] in texts and self.k[self.i] in ("op", "id")
+        return self.w[self.i] in texts
 
     def peek(self, n: int = 1) -> str:
-        j = min(self.i + n, len(self.t) - 1)
-        return self.t[j] if self.k[j] in ("op", "id") else ""
+        return self.w[min(self.i + n, len(self.w) - 1)]
 
     def accept(self, *texts: str) -> bool:
-        if self.t[self.i] in texts and self.k[self.i] in ("op", "id"):
+        if self.w[self.i] in texts:
             self.i += 1
             return True
         return False
@@ -242,8 +266,8 @@ class Parser:
 
     def operator(self) -> str | None:
         """The binary operator here, if any."""
-        t = self.t[self.i]
-        return t if t in self.binary and self.k[self.i] in ("op", "id") else None
+        t = self.w[self.i]
+        return t if t in self.binary else None
 
     def take_operator(self, op: str) -> None:
         self.i += 1

@@ -81,3 +81,8 @@ def test_table(spark):
     rates = {(r["repo_id"], r["language"]): (r["n_files"], r["n_faulty"], r["n_nodes"], r["rate"]) for r in fault_rates(files, nodes).collect()}
     assert rates == {("r", "python"): (3, 1, 2, 0.333333), (None, "go"): (1, 0, 0, 0.0)}
     assert parsed(files.where("false")).count() == 0
+
+
+def test_nesting_of_any_depth():
+    for path, text in (("a.js", "x = {};\n"), ("a.py", "x = {}\n"), ("a.go", "package a\nvar x = {}\n"), ("a.rs", "fn f() {{ let x = {}; }}\n")):
+        assert parse(path, text.format("(" * 3000 + "1" + ")" * 3000)).valid and not parse(path, text.format("(" * 3000 + "1" + ")" * 2999)).valid
