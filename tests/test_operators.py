@@ -176,12 +176,19 @@ def test_graph_of_files(spark):
     assert got == {("imports", "file:r/a.ts:a.ts", "file:r/b.ts:b.ts"), ("extends", a, "class:r/b.ts:B"), ("implements", a, "interface:r/b.ts:I"), ("implements", a, "interface:r/b.ts:J")} | {("uses_type", s, t) for s, t in ((a, "type_alias:r/b.ts:K"), (a, "enum:r/b.ts:Mode"), (f, "interface:r/b.ts:I"), (f, "type_alias:r/b.ts:K"), (f, "enum:r/b.ts:Mode"))}
 
 
-def test_expansion_scores():
-    good = expansion.score("React hooks guide", "lex: react hooks\nlex: hooks tutorial react\nvec: how do hooks work in react components\nvec: learning state with react hooks step by step")
-    assert good.rating == "Excellent" and expansion.score("a", "nonsense").rating == "Failed" and expansion.score("q", "lex: q\nvec: q q q").share <= 50
-    assert expansion.score("find API docs /only:lex", "lex: API reference docs\nlex: docs index for API").rating == "Excellent"
-    assert expansion.entities("the React API of node.js") == {"react", "api", "node.js"}
-    assert expansion.transform_expansion("q", ["one two three four five", "q", "x"], ["q", "v"]) == [("lex", "one two three"), ("lex", "x"), ("vec", "v")]
+def test_expansion_scores(spark):
+    cases = [
+        ("React hooks guide", "lex: react hooks\nlex: hooks tutorial react\nvec: how do hooks work in react components\nvec: learning state with react hooks step by step", "Excellent"),
+        ("a", "nonsense", "Failed"), ("q", "lex: q\nvec: q q q", None), ("find API docs /only:lex", "lex: API reference docs\nlex: docs index for API", "Excellent"), ("x /only:vec", "lex: a", "Failed"), ("", "", None), ("foo", "lex: a<|im_start|>", "Failed"),
+    ]
+    got = {r["query"]: r for r in expansion.score(spark.createDataFrame([c[:2] for c in cases], "query string, text string")).collect()}
+    assert all(got[q]["rating"] == want for q, _, want in cases if want) and got["q"]["share"] <= 50 and got["x /only:vec"]["reason"] == "no vec" and got["foo"]["reason"] == "chat marks"
+    assert tuple(got["React hooks guide"])[2:4] == (30, 28)
+    assert set(one(spark, "the React API of node.js", expansion.entities)) == {"react", "api", "node.js"} and one(spark, None, expansion.entities) is None
+    assert [one(spark, x, expansion.is_generic) for x in ("find information about", "what is it", "guide to renal care")] == [True, True, False]
+    assert one(spark, "ring ring ring ring of the the the the", expansion.repetition) == 4
+    row = spark.createDataFrame([("q", ["one two three four five", "q", "x"], ["q", "v"])], "q string, lex array<string>, vec array<string>")
+    assert row.select(expansion.transform_expansion(F.col("q"), F.col("lex"), F.col("vec"))).first()[0] == [["lex", "one two three"], ["lex", "x"], ["vec", "v"]]
 
 
 def test_metrics(spark):
