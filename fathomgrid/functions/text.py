@@ -195,3 +195,42 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+
+
+def format_eta(seconds: Column) -> Column:
+    """Seconds as 5s, 2m 5s or 3h 2m; fractions are cut off."""
+    s = F.floor(seconds)
+    text = lambda c: c.cast("string")
+    return F.when(s < 60, F.concat(text(s), F.lit("s"))).when(s < 3600, F.concat(text(F.floor(s / 60)), F.lit("m "), text(s % 60), F.lit("s"))).otherwise(F.concat(text(F.floor(s / 3600)), F.lit("h "), text(F.floor(s % 3600 / 60)), F.lit("m")))
+
+
+def label_of_kind(kind: Column) -> Column:
+    """The label of a parsed symbol: its own kind where nodes have that label, else a function (so for constants and variables)."""
+    return F.when(kind.isin("class", "interface", "type_alias", "enum", "method"), kind).otherwise("function")
+
+
+def normal_separators(path: Column) -> Column:
+    return F.translate(path, "\\", "/")
+
+
+def is_absolute(path: Column) -> Column:
+    """Whether a path begins at a root: /x, C:\\x or C:/x."""
+    return path.rlike(r"^(/|[A-Za-z]:([\\/]|$))")
+
+
+def relative_to(path: Column, prefix: Column) -> Column:
+    """The part of a path below a folder ('' for the folder itself); null where it isn't below."""
+    p, f = normal_separators(path), F.regexp_replace(normal_separators(prefix), "/+$", "")
+    return F.when(p == f, "").when(F.startswith(p, F.concat(f, F.lit("/"))), F.substr(p, F.length(f) + 2))
+
+
+def resolve(*parts: Column) -> Column:
+    """Paths one after the other, each below the ones before unless absolute; '.' and '..' are carried out. /c/x counts as C:/x where a drive letter stands alone."""
+    whole = None
+    for part in parts:
+        p = F.regexp_replace(normal_separators(part), r"^/([a-zA-Z])(?=/[a-zA-Z]:|$)", "$1:")
+        whole = p if whole is None else F.when(is_absolute(p), p).otherwise(F.concat(whole, F.lit("/"), p))
+    drive = F.regexp_extract(whole, r"^([A-Za-z]:)", 1)
+    up = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    steps = F.aggregate(F.split(F.regexp_replace(whole, r"^[A-Za-z]:", ""), "/"), F.array().cast("array<string>"), up)
+    return F.concat(drive, F.lit("/"), F.array_join(steps, "/"))

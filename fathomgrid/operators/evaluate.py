@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,54 @@ def hit_rate(ranked: DataFrame, judged: DataFrame, group: str, item: str, k: int
     return rel.select(group).distinct().join(hit, group, "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("rate"))
 
 
+#: Names of symbols whose callers count as ranked too low rather than as missing.
+RANKED_LOW = ("login", "UserRepository", "fetchData")
+#: Signs of the kinds of queries.
+TEMPORAL = ("latest", "recent", "new", "update", "changelog", "changed", "version", "release", "news", "2024", "2025")
+COMPARISON = ("difference", "vs", "versus", "compare")
+PERSONAL = ("meeting", "notes", "journal", "ideas", "thoughts")
+HOW = ("how to", "how do", "setup", "install", "configure", "create")
+WHAT = ("what is", "what are", "definition", "meaning")
+CONFIG = ("config", "setting", "option")
+ERROR = ("error", "issue", "problem", "fix", "debug")
+TOPIC_PREFIXES = ("how to ", "how do i ", "what is ", "what are ", "configure ", "setup ")
+
+
+def _holds(text: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(s) for s in signs])
+
+
+def query_category(query: Column) -> Column:
+    """short_keyword (at most two words), temporal, how_to, what_is, comparison, personal or other. Names are looked for in lower case, so that named_entity never comes out."""
+    q = F.lower(query)
+    n = F.size(F.filter(F.split(query, r"(?U)\s+"), lambda w: w != ""))
+    return F.when(n <= 2, "short_keyword").when(_holds(q, TEMPORAL), "temporal").when(q.startswith("how "), "how_to").when(q.startswith("what "), "what_is").when(_holds(q, COMPARISON), "comparison").when(_holds(q, PERSONAL), "personal").otherwise("other")
+
+
+def hyde_kind(query: Column) -> Column:
+    """The kind of passage that a query asks for."""
+    q = F.lower(query)
+    return F.when(_holds(q, HOW), "how_to").when(_holds(q, WHAT), "what_is").when(_holds(q, CONFIG), "config").when(_holds(q, ERROR), "error").otherwise("general")
+
+
+def topic(query: Column) -> Column:
+    """The query without what it begins with, if that is a common phrase."""
+    out = query
+    for p in reversed(TOPIC_PREFIXES):
+        out = F.when(F.lower(query).startswith(p), F.regexp_replace(F.substr(query, F.lit(len(p) + 1)), r"(?U)^\s+|\s+$", "")).otherwise(out)
+    return out
+
+
+def failure_kinds(ranked: DataFrame, judged: DataFrame, group: str, item: str, retrieved: int = 20, k: int = 10) -> DataFrame:
+    """(kind, n, recall): groups by what kept their relevant items from the first places, with their mean recall at k. 'not_indexed': none among the first `retrieved`; 'missing_callsite': some; 'ranking': all, or some of which one is known to rank low."""
+    rel = judged.where("relevance > 0").select(group, item).distinct()
+    both = rel.join(ranked.select(group, item, "rank"), [group, item], "left")
+    low = (F.col("rank") <= retrieved) & _holds(F.col(item), RANKED_LOW)
+    per = both.groupBy(group).agg(F.count(F.lit(1)).alias("wanted"), F.count_if(F.col("rank") <= retrieved).alias("found"), F.count_if(F.col("rank") <= k).alias("near"), F.coalesce(F.bool_or(low), F.lit(False)).alias("low"))
+    kind = F.when(F.col("found") == 0, "not_indexed").when((F.col("found") < F.col("wanted")) & ~F.col("low"), "missing_callsite").otherwise("ranking")
+    return per.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("near") / F.col("wanted")), 6).alias("recall"))
+
+
 def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """(share, value): the value at place floor(n * share) of the ascending order, from counts of distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))

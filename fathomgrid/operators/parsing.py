@@ -221,6 +221,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(near, ["repo", "stem"], "left").join(far, ["repo", "base"], "left").select("file_path", "module", "line", F.coalesce("near", "far").alias("resolved"))
 
 
+def resolve_import_symbols(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """imports (file_path, module, line, resolved) with the first exported symbol of the file that is meant, by line, then identifier: (file_path, module, line, symbol), null where the file is not met or exports none."""
+    first = nodes.where("is_exported = 1 and label <> 'file'").groupBy(F.col("file_path").alias("resolved")).agg(F.min_by("id", F.struct("start_line", "id")).alias("symbol"))
+    return imports.join(first, "resolved", "left").select("file_path", "module", "line", "symbol")
+
+
 def resolve_types(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(rel_type, source, target, line) of rows (what, id, name, first): bases are the class of that name, else the interface; a used type also an alias, else an enum. The least identifier counts; a name that isn't met is left out."""
     order = F.array_position(F.array(*[F.lit(k) for k in ("class", "interface", "type_alias", "enum")]), F.col("label"))

@@ -53,6 +53,30 @@ def fuse(lists: list[tuple[DataFrame, str]], key: str, weights: list[float], k:
     return rrf(reduce(DataFrame.unionByName, [as_list(df, key, score, w, i) for i, ((df, score), w) in enumerate(zip(lists, weights))]), key, k, bonus)
 
 
+def _ranks() -> list:
+    """1-based places by full text and by vector; null where a list of the kind doesn't have the row."""
+    at = lambda kind: (F.min(F.when(F.col("kind") == kind, F.col("rank"))) + 1).alias(f"{kind}_rank")
+    return [at("fts"), at("vector")]
+
+
+def rrf_unified(lists: DataFrame, key: str, k: int = 60, site_factor: float = 1.5, group: list[str] | None = None) -> DataFrame:
+    """(group, key, score, fts_rank, vector_rank) of lists (group, kind 'fts' or 'vector', weight, key, rank, boosted) of symbols and chunks; call sites (boosted) weigh site_factor times as much."""
+    weight = F.col("weight") * F.when(F.col("boosted"), site_factor).otherwise(1.0)
+    return lists.groupBy(*(group or []), key).agg(F.sum(weight / (k + F.col("rank") + 1)).alias("score"), *_ranks())
+
+
+def rrf_chunks(lists: DataFrame, key: str, k: int = 60, group: list[str] | None = None) -> DataFrame:
+    """(group, key, rrf_score, score, fts_rank, vector_rank) of lists (group, kind, weight, key, rank, relevance): the fused score beside the best relevance of any list."""
+    return lists.groupBy(*(group or []), key).agg(F.sum(F.col("weight") / (k + F.col("rank") + 1)).alias("rrf_score"), F.max("relevance").alias("score"), *_ranks())
+
+
+def hybrid(lists: list[tuple[DataFrame, str]], rows: DataFrame, query: str, limit: int, rerank: int = 50) -> DataFrame:
+    """(id, final) of score tables (id, score): fused with equal weights, the best `rerank` reranked by rules over their rows, blended, at most limit. Those behind keep their fused part alone."""
+    fused = ranked(fuse(lists, "id", [1.0] * len(lists), bonus=False), "id", "score")  # at most the lists' lengths
+    found = heuristic_rerank(fused.join(rows, "id"), query).withColumn("heuristic", F.when(F.col("rank") < rerank, F.col("heuristic")))
+    return blend(found, "score", "heuristic").orderBy(F.desc(F.round("final", 9)), "id").limit(limit)
+
+
 def position_blend(rows: DataFrame, rank: str, rerank: str) -> DataFrame:
     """Blend 1 / rank (1-based) with a reranker's score; the better the rank, the more it counts."""
     w = F.when(F.col(rank) <= 3, 0.75).when(F.col(rank) <= 10, 0.60).otherwise(0.40)

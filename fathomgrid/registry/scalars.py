@@ -177,13 +177,13 @@ def process_query(spark, root):
 
 _INTENT_SQL = "CASE WHEN list_has_any(string_split_regex(lower(trim(query)), '\\s+'), [{}]) THEN 'definition' {} ELSE 'hybrid' END".format(
     ", ".join(f"'{w}'" for w in Q.DEFINITION), " ".join("WHEN " + " OR ".join(f"contains(lower(query), '{p}')" for p in ps) + f" THEN '{k}'" for k, ps in Q.INTENTS.items())
-)
+).replace("ELSE 'hybrid'", "WHEN regexp_matches(query, '(^|\\s)[a-zA-Z0-9_\\-./]+/[a-zA-Z0-9_\\-./]+(\\s|$)') OR regexp_matches(query, '[a-zA-Z0-9_\\-]+/[a-zA-Z0-9_\\-./]+') THEN 'navigation' ELSE 'hybrid'")
 
 
-@N.query("detect_intent", f"SELECT DISTINCT record_id, CASE WHEN regexp_matches(trim(query), '^\\S+$') THEN 'one word' ELSE {_INTENT_SQL} END AS intent FROM qmd_expansion_locations WHERE query IS NOT NULL AND NOT contains(query, '/')")
+@N.query("detect_intent", f"SELECT DISTINCT record_id, CASE WHEN regexp_matches(trim(query), '^\\S+$') THEN 'one word' ELSE {_INTENT_SQL} END AS intent FROM qmd_expansion_locations WHERE query IS NOT NULL")
 def detect_intent(spark, root):
     q = F.col("query")
-    rows = table(spark, root, "qmd_expansion_locations").where("query is not null").where(~q.contains("/"))
+    rows = table(spark, root, "qmd_expansion_locations").where("query is not null")
     return rows.select("record_id", F.when(F.trim(q).rlike(r"^\S+$"), "one word").otherwise(Q.intent(q)).alias("intent")).distinct()
 
 
@@ -203,4 +203,37 @@ def levenshtein(spark, root):
     return table(spark, root, "graph_nodes").select("id", F.levenshtein(F.lower("name"), F.lit("rendergroup")).alias("distance"))
 
 
+@N.query("md5_hash", "SELECT file_id, md5(content) AS md5 FROM parse_results")
+def md5_hash(spark, root):
+    return table(spark, root, "parse_results").select("file_id", F.md5("content").alias("md5"))
+
+
+@N.query("format_eta", "SELECT hash, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' END AS eta FROM (SELECT hash, doc_bytes AS s FROM content_store)")
+def format_eta(spark, root):
+    """Sizes stand for seconds."""
+    return table(spark, root, "content_store").select("hash", T.format_eta(F.col("doc_bytes")).alias("eta"))
+
+
+@N.query("symbol_kind_to_label", "SELECT kind, label FROM (VALUES ('class', 'class'), ('interface', 'interface'), ('type_alias', 'type_alias'), ('enum', 'enum'), ('method', 'method'), ('function', 'function'), ('constant', 'function'), ('variable', 'function'), ('other', 'function')) t(kind, label)")
+def symbol_kind_to_label(spark, root):
+    kinds = spark.createDataFrame([(k,) for k in ("class", "interface", "type_alias", "enum", "method", "function", "constant", "variable", "other")], "kind string")
+    return kinds.select("kind", T.label_of_kind(F.col("kind")).alias("label"))
+
+
+_PATHS = "regexp_replace(file_path, '^[^/]*/', '')"
+
+
+@N.query("relative_from_prefix", f"SELECT file_id, {_PATHS} AS inside, starts_with(file_path, '/') AS absolute FROM parse_results")
+def relative_from_prefix(spark, root):
+    p = F.col("file_path")
+    return table(spark, root, "parse_results").select("file_id", T.relative_to(p, F.substring_index("repo_id", "/", 1)).alias("inside"), T.is_absolute(p).alias("absolute"))
+
+
+@N.query("resolve_path", "SELECT file_id, '/' || file_path AS path FROM parse_results")
+def resolve_path(spark, root):
+    """A path that goes up and down again comes out as it was."""
+    folder = F.regexp_replace("file_path", "/[^/]*$", "")
+    return table(spark, root, "parse_results").select("file_id", T.resolve(F.concat(F.lit("/"), folder, F.lit("/x/..")), F.concat(F.lit("./"), F.regexp_extract("file_path", "([^/]*)$", 1))).alias("path"))
+
+
 QUERIES, SQL = N.QUERIES, N.SQL

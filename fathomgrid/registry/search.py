@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -265,27 +267,89 @@ def graph_boost(spark, root):
     return both.groupBy(F.col("other").alias("id")).agg(F.round(F.least(F.lit(1.0), F.count_if(F.col("score") > 0.5) * 0.1), 6).alias("boost"))
 
 
-@N.query("hybrid_search_symbols")
+def _node_vectors(spark, root):
+    """Vectors of 768 finite values that are not all zero."""
+    v = F.col("embedding")
+    whole = (F.size(v) == 768) & (F.size(F.array_compact(v)) == 768) & ~F.isnan(F.array_max(v)) & ((F.array_max(v) != 0) | (F.array_min(v) != 0))
+    return table(spark, root, "node_embeddings_raw").where(whole).select(F.col("node_id").alias("id"), "embedding")
+
+
+def _asked(spark, root):
+    return list(_node_vectors(spark, root).orderBy("id").limit(1).first()["embedding"])  # one row
+
+
+_NV = "nv AS (SELECT node_id AS id, embedding::DOUBLE[] AS e FROM node_embeddings_raw WHERE len(embedding) = 768 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))), nq AS (SELECT e AS q FROM nv ORDER BY id LIMIT 1), ns AS (SELECT id, list_cosine_similarity(e, q) AS s FROM nv, nq)"
+
+
+def _places(src: str, score: str, limit: int) -> str:
+    return f"SELECT id, row_number() OVER (ORDER BY round({score}, 9) DESC, id) - 1 AS rank FROM {src} ORDER BY rank LIMIT {limit}"
+
+
+@N.query("vector_knn_symbols", f"WITH {_NV}, n AS (SELECT id, s FROM ns ORDER BY round(s, 9) DESC, id LIMIT 60) SELECT id, round(s, 6) AS similarity FROM n WHERE id IN (SELECT id FROM graph_nodes WHERE repo_id = 'quillgraph' AND branch = 'main') ORDER BY round(s, 9) DESC, id LIMIT 20")
+def vector_knn_symbols(spark, root):
+    """Nearest symbols of a query vector, of which those of one repository and branch stay."""
+    keep = table(spark, root, "graph_nodes").where("repo_id = 'quillgraph' and branch = 'main'").select("id")
+    return R.knn_filtered_after(_node_vectors(spark, root), "id", "embedding", _asked(spark, root), 20, keep).withColumn("similarity", F.round("similarity", 6))
+
+
+@N.query("hybrid_search_symbols", f"""{_SYM}, {_NV}, a AS ({_places("y", "score", 40)}), b AS ({_places("ns", "s", 40)}),
+f AS (SELECT id, sum(1.0 / (61 + rank)) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1), o AS (SELECT id, rrf, row_number() OVER (ORDER BY round(rrf, 9) DESC, id) AS n FROM f),
+h AS (SELECT o.id, rrf, CASE WHEN n <= 50 THEN {_heur(_SQ, " ".join(_SQ))} ELSE 0 END AS heur FROM o JOIN graph_nodes g ON g.id = o.id)
+SELECT id, round((0.7 * least(rrf, 1) + 0.3 * least(heur, 1))::DOUBLE, 6) AS final FROM h ORDER BY round((0.7 * least(rrf, 1) + 0.3 * least(heur, 1))::DOUBLE, 9) DESC, id LIMIT 20""")
 def hybrid_search_symbols(spark, root):
-    """Full text and name distance, fused, reranked and blended, with the path's prior."""
+    """Full text and vectors, fused, the best 50 reranked, and blended."""
     n = table(spark, root, "graph_nodes")
-    fts = L.top(_bm25_symbols(spark, root), "score", "id", 50).select("id", "score")
-    d = F.levenshtein(F.lower("name"), F.lit("cachestore"))
-    fuzzy = L.top(n.select("id", (1 - d / F.greatest(F.length("name"), F.lit(10))).alias("score")), "score", "id", 50)
-    fused = R.fuse([(fts, "score"), (fuzzy, "score")], "id", [1.0, 1.0], bonus=False)
-    rows = R.heuristic_rerank(fused.join(n.withColumn("content", F.col("signature")), "id"), " ".join(_SQ))
-    out = R.with_prior(R.blend(rows, "score", "heuristic"), "final", " ".join(_SQ))
-    return L.top(out, "final", "id", 20).select("id", F.round("final", 6).alias("final"))
+    fts = L.top(_bm25_symbols(spark, root), "score", "id", 40).select("id", "score")
+    near = R.knn(_node_vectors(spark, root), "id", "embedding", _asked(spark, root), 40)
+    return R.hybrid([(fts, "score"), (near, "similarity")], n.withColumn("content", F.col("signature")), " ".join(_SQ), 20).select("id", F.round("final", 6).alias("final"))
 
 
-@N.query("unified_search")
+#: Four ranked lists per query in the table of candidates: symbols and chunks, each by full text and by vector. Methods stand for call sites.
+_FOUR = "l AS (SELECT query_id, node_id, source, label, min(fts_rank) - 1 AS rank, 'fts' AS kind FROM search_results WHERE fts_rank IS NOT NULL GROUP BY ALL UNION ALL SELECT query_id, node_id, source, label, min(vector_rank) - 1, 'vector' FROM search_results WHERE vector_rank IS NOT NULL GROUP BY ALL)"
+
+
+def _four(spark, root):
+    r = table(spark, root, "search_results")
+    one = lambda c, kind: r.where(F.col(c).isNotNull()).groupBy("query_id", "node_id", "source", "label").agg((F.min(c) - 1).alias("rank")).withColumn("kind", F.lit(kind))
+    return one("fts_rank", "fts").unionByName(one("vector_rank", "vector"))
+
+
+@N.query("rrf_unified", f"WITH {_FOUR} SELECT query_id, node_id, round(sum(CASE WHEN source = 'retrieval' AND label = 'method' THEN 1.5 ELSE 1.0 END / (61 + rank)), 6)::DOUBLE AS score, min(rank) FILTER (kind = 'fts') + 1 AS fts_rank, min(rank) FILTER (kind = 'vector') + 1 AS vector_rank FROM l GROUP BY ALL")
+def rrf_unified(spark, root):
+    boosted = (F.col("source") == "retrieval") & (F.col("label") == "method")
+    lists = _four(spark, root).withColumns({"weight": F.lit(1.0), "boosted": F.coalesce(boosted, F.lit(False))})
+    return R.rrf_unified(lists, "node_id", group=["query_id"]).withColumn("score", F.round("score", 6))
+
+
+@N.query("rrf_chunks", "WITH r AS (SELECT query_id, node_id, fts_rank - 1 AS rank, CASE WHEN isfinite(raw_score) THEN abs(raw_score) / (1 + abs(raw_score)) ELSE 0 END AS rel, 'fts' AS kind FROM search_results WHERE source = 'retrieval' AND fts_rank IS NOT NULL UNION ALL SELECT query_id, node_id, vector_rank - 1, CASE WHEN isfinite(rerank_score) THEN rerank_score ELSE 0 END, 'vector' FROM search_results WHERE source = 'retrieval' AND vector_rank IS NOT NULL), "
+"l AS (SELECT query_id, node_id, kind, min(rank) AS rank, max(rel) AS rel FROM r GROUP BY ALL) SELECT query_id, node_id, round(sum(1.0 / (61 + rank)), 6)::DOUBLE AS rrf_score, round(max(rel), 6)::DOUBLE AS score, min(rank) FILTER (kind = 'fts') + 1 AS fts_rank, min(rank) FILTER (kind = 'vector') + 1 AS vector_rank FROM l GROUP BY 1, 2")
+def rrf_chunks(spark, root):
+    r = table(spark, root, "search_results").where("source = 'retrieval'")
+    finite = lambda c, x: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), x).otherwise(0.0)
+    one = lambda c, rel, kind: r.where(F.col(c).isNotNull()).groupBy("query_id", "node_id").agg((F.min(c) - 1).alias("rank"), F.max(rel).alias("relevance")).withColumns({"kind": F.lit(kind), "weight": F.lit(1.0)})
+    lists = one("fts_rank", finite("raw_score", F.abs("raw_score") / (1 + F.abs("raw_score"))), "fts").unionByName(one("vector_rank", finite("rerank_score", F.col("rerank_score")), "vector"))
+    return R.rrf_chunks(lists, "node_id", group=["query_id"]).withColumns({c: F.round(c, 6) for c in ("rrf_score", "score")})
+
+
+# documents stand for chunks; those of code comments for call sites. The vectors of `embeddings` are theirs.
+@N.query("unified_search", f"""{_SYM}, {_BM.replace("t AS (", "td AS (").replace("s AS (SELECT count", "sd AS (SELECT count").replace("m AS (SELECT doc_id", "md AS (SELECT doc_id").replace("FROM t)", "FROM td)").replace("FROM t, s ", "FROM td, sd ")}, {_NV}, {_Q1},
+ds AS (SELECT 'doc:' || vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q), dm AS (SELECT 'doc:' || doc_id AS id, raw FROM md),
+u AS (SELECT *, 'fts' AS kind FROM ({_places("y", "score", 90)}) UNION ALL SELECT *, 'vector' FROM ({_places("ns", "s", 90)}) UNION ALL SELECT *, 'fts' FROM ({_places("dm", "raw", 90)}) UNION ALL SELECT *, 'vector' FROM ({_places("ds", "s", 90)})),
+cs AS (SELECT DISTINCT 'doc:' || doc_id AS id FROM documents WHERE source = 'code_comment')
+SELECT id, round(sum((CASE WHEN id IN (SELECT id FROM cs) THEN 1.5 ELSE 1.0 END) / (61 + rank)), 6)::DOUBLE AS score, min(rank) FILTER (kind = 'fts') + 1 AS fts_rank, min(rank) FILTER (kind = 'vector') + 1 AS vector_rank FROM u GROUP BY 1 ORDER BY round(sum((CASE WHEN id IN (SELECT id FROM cs) THEN 1.5 ELSE 1.0 END) / (61 + rank))::DOUBLE, 9) DESC, id LIMIT 30""")
 def unified_search(spark, root):
-    """Symbols and documents by full text in one fused list, with the calls around the best symbols."""
-    symbols = L.top(_bm25_symbols(spark, root), "score", "id", 50).select("id", "score")
-    docs = L.top(_bm25_docs(spark, root), "raw", "doc_id", 50).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("raw").alias("score"))
-    fused = R.fuse([(symbols, "score"), (docs, "score")], "id", [1.0, 1.0], bonus=False).select("id", "score")
-    around = R.expand(L.top(fused, "score", "id", 10), table(spark, root, "graph_relationships"))
-    return L.top(fused.unionByName(around.join(fused.select("id"), "id", "left_anti")), "score", "id", 30).select("id", F.round("score", 6).alias("score"))
+    """Symbols and chunks, each by full text and by vector, in one fused list in which call sites weigh more."""
+    d, doc = _docs(spark, root), lambda c: F.concat(F.lit("doc:"), F.col(c).cast("string"))
+    e = table(spark, root, "embeddings")
+    sites = d.where("source = 'code_comment'").select(doc("doc_id").alias("id")).distinct().withColumn("boosted", F.lit(True))
+    legs = [
+        (L.top(_bm25_symbols(spark, root), "score", "id", 90).select("id", "score"), "score", "fts"), (R.knn(_node_vectors(spark, root), "id", "embedding", _asked(spark, root), 90), "similarity", "vector"),
+        (_bm25_docs(spark, root).select(doc("doc_id").alias("id"), "raw").orderBy(F.desc(F.round("raw", 9)), "id").limit(90), "raw", "fts"),
+        (e.select(doc("vec_id").alias("id"), F.col("embedding")).transform(lambda v: R.knn(v, "id", "embedding", _vector(spark, root, 1), 90)), "similarity", "vector"),
+    ]
+    lists = [R.as_list(df, "id", score, 1.0, i).withColumn("kind", F.lit(kind)) for i, (df, score, kind) in enumerate(legs)]
+    every = reduce(lambda a, b: a.unionByName(b), lists).join(sites, "id", "left").withColumn("boosted", F.coalesce("boosted", F.lit(False)))
+    return L.top(R.rrf_unified(every, "id"), "score", "id", 30).select("id", F.round("score", 6).alias("score"), "fts_rank", "vector_rank")
 
 
 @N.query("hybrid_query_documents")
@@ -323,11 +387,10 @@ def hit_rate(spark, root):
     return E.hit_rate(_fused(spark, root), table(spark, root, "search_judgments"), "query_id", "node_id", 3)
 
 
-@N.query("usage_failure_diagnosis", _MET + "SELECT CASE WHEN rank IS NULL THEN 'not_indexed' WHEN rank > 10 THEN 'ranking' ELSE 'found' END AS kind, count(*) AS n FROM g LEFT JOIN r USING (query_id, node_id) GROUP BY 1")
+@N.query("usage_failure_diagnosis", _MET + """, j AS (SELECT query_id, count(*) AS wanted, count(*) FILTER (rank <= 20) AS found, count(*) FILTER (rank <= 10) AS near, bool_or(rank <= 20 AND (contains(node_id, 'login') OR contains(node_id, 'UserRepository') OR contains(node_id, 'fetchData'))) AS marked FROM g LEFT JOIN r USING (query_id, node_id) GROUP BY 1)
+SELECT CASE WHEN found = 0 THEN 'not_indexed' WHEN found < wanted AND NOT coalesce(marked, false) THEN 'missing_callsite' ELSE 'ranking' END AS kind, count(*) AS n, round(avg(near / wanted), 6) AS recall FROM j GROUP BY 1""")
 def usage_failure_diagnosis(spark, root):
-    g = table(spark, root, "search_judgments").where("relevance > 0").select("query_id", "node_id").distinct()
-    kind = F.when(F.col("rank").isNull(), "not_indexed").when(F.col("rank") > 10, "ranking").otherwise("found")
-    return g.join(_fused(spark, root), ["query_id", "node_id"], "left").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return E.failure_kinds(_fused(spark, root), table(spark, root, "search_judgments"), "query_id", "node_id")
 
 
 @N.query("score_percentiles", "WITH o AS (SELECT rrf_score AS v, row_number() OVER (ORDER BY rrf_score) AS n, count(*) OVER () AS c FROM search_results WHERE isfinite(rrf_score)) SELECT s AS share, min(v) FILTER (n = floor(c * s) + 1) AS value FROM o, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS s) GROUP BY 1")
@@ -351,11 +414,22 @@ def items_to_text(spark, root):
     return table(spark, root, "qmd_expansion_locations").where("output is not null").select("record_id", F.array_join(F.transform(kept, lambda i: F.concat(F.get(i, F.lit(0)), F.lit(": "), F.trim(F.get(i, F.lit(1))))), "\n").alias("lines"))
 
 
-@N.query("categorize_query", "SELECT record_id, CASE WHEN regexp_matches(lower(query), '^(how|what|why|when|where|which|who|is)\\b') THEN 'question' WHEN contains(query, ':') THEN 'fields' WHEN len(string_split_regex(trim(query), '\\s+')) <= 3 THEN 'keywords' ELSE 'phrase' END AS kind FROM qmd_expansion_locations WHERE query IS NOT NULL")
+_SOME = lambda words: " OR ".join(f"contains(q, '{w}')" for w in words)
+
+
+@N.query("categorize_query", f"SELECT record_id, CASE WHEN len(list_filter(string_split_regex(query, '[\\s\\x{{a0}}]+'), lambda x: x <> '')) <= 2 THEN 'short_keyword' WHEN {_SOME(E.TEMPORAL)} THEN 'temporal' WHEN starts_with(q, 'how ') THEN 'how_to' WHEN starts_with(q, 'what ') THEN 'what_is' WHEN {_SOME(E.COMPARISON)} THEN 'comparison' WHEN {_SOME(E.PERSONAL)} THEN 'personal' ELSE 'other' END AS kind FROM (SELECT record_id, query, lower(query) AS q FROM qmd_expansion_locations WHERE query IS NOT NULL)")
 def categorize_query(spark, root):
-    q = F.col("query")
-    kind = F.when(F.lower(q).rlike(r"^(how|what|why|when|where|which|who|is)\b"), "question").when(q.contains(":"), "fields").when(F.size(F.split(F.trim(q), r"\s+")) <= 3, "keywords").otherwise("phrase")
-    return table(spark, root, "qmd_expansion_locations").where("query is not null").select("record_id", kind.alias("kind"))
+    return table(spark, root, "qmd_expansion_locations").where("query is not null").select("record_id", E.query_category(F.col("query")).alias("kind"))
+
+
+@N.query("classify_hyde_query", f"SELECT record_id, CASE WHEN {_SOME(E.HOW)} THEN 'how_to' WHEN {_SOME(E.WHAT)} THEN 'what_is' WHEN {_SOME(E.CONFIG)} THEN 'config' WHEN {_SOME(E.ERROR)} THEN 'error' ELSE 'general' END AS kind FROM (SELECT record_id, lower(query) AS q FROM qmd_expansion_locations WHERE query IS NOT NULL)")
+def classify_hyde_query(spark, root):
+    return table(spark, root, "qmd_expansion_locations").where("query is not null").select("record_id", E.hyde_kind(F.col("query")).alias("kind"))
+
+
+@N.query("extract_topic", "SELECT record_id, CASE " + " ".join(f"WHEN starts_with(lower(query), '{p}') THEN regexp_replace(query[{len(p) + 1}:], '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')" for p in E.TOPIC_PREFIXES) + " ELSE query END AS topic FROM qmd_expansion_locations WHERE query IS NOT NULL")
+def extract_topic(spark, root):
+    return table(spark, root, "qmd_expansion_locations").where("query is not null").select("record_id", E.topic(F.col("query")).alias("topic"))
 
 
 @N.query("jsonl_split_sink")

@@ -66,13 +66,6 @@ def parse_files(spark, root):
     return P.parse_files(table(spark, root, "parse_results"))
 
 
-@N.query("resolve_imports")
-def resolve_imports(spark, root):
-    """Every import of every file with the file it means."""
-    p = table(spark, root, "parse_results")
-    return P.resolve_imports(P.parse_files(p).where("what = 'import'"), p.select("file_path", "repo_id"))
-
-
 @N.query("ingest_pipeline")
 def ingest_pipeline(spark, root):
     """Files to a graph: symbols, and edges by type."""

@@ -56,11 +56,3 @@ def test_entry_without_the_optional_part():
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert importlib.import_module("fathomgrid.registry")
-
-
-def test_impact_and_traverse_of_all_functions(spark, tiny):
-    starts = {r["id"] for r in table(spark, tiny, "graph_nodes").where("label = 'function'").select("id").collect()}
-    hit = QUERIES["impact_all"](spark, tiny).collect()
-    assert max(r["depth"] for r in hit) == 4 and {r["effect"] for r in hit if r["depth"] == 4} == {"review"}
-    far = QUERIES["traverse_all"](spark, tiny).collect()
-    assert max(r["depth"] for r in far) > 3 and len({r["start"].split("/")[0] for r in far}) > 1 and {r["start"] for r in far} <= starts
