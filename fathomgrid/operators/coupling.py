@@ -34,6 +34,13 @@ def change_coupling(changes: DataFrame, least: int = 2, most_files: int = 1000)
     return with_n.select("file_a", "file_b", "together", "n_a", "n_b", strength.alias("strength"))
 
 
+def detect_change_coupling(log: DataFrame, extensions: tuple[str, ...], least: int = 2, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(couplings, histories, top partners) of the source files in a version history (commit, author, at, file); a history without rows, as of a folder that isn't a repository, gives empty tables."""
+    some = log.where(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin(*extensions))
+    couplings = change_coupling(some, least)
+    return couplings, file_history(some), top_partners(couplings, k)
+
+
 def partners(couplings: DataFrame) -> DataFrame:
     """(file, partner, strength) in both directions."""
     return couplings.select(F.col("file_a").alias("file"), F.col("file_b").alias("partner"), "strength").unionByName(couplings.select(F.col("file_b").alias("file"), F.col("file_a").alias("partner"), "strength"))

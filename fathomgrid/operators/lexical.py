@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.functions.text import terms
@@ -12,10 +14,45 @@ K1, B = 1.2, 0.75
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, field, term, tf): one row per term of a field, counted."""
-    each = F.array(*[F.struct(F.lit(n).alias("field"), terms(c).alias("terms")) for n, c in fields.items()])
-    flat = rows.select(key, F.explode(each).alias("f")).select(key, "f.field", F.explode("f.terms").alias("term"))
-    return flat.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, size, field, term, tf): one row per term of a field, counted; size counts the terms of all fields of the row."""
+    each = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(terms(c), F.array().cast("array<string>")).alias("terms")) for n, c in fields.items()])
+    wide = rows.select(key, each.alias("fs")).withColumn("size", F.aggregate("fs", F.lit(0), lambda n, f: n + F.size(f["terms"])))
+    flat = wide.select(key, "size", F.explode("fs").alias("f")).select(key, "size", "f.field", F.explode("f.terms").alias("term"))
+    return flat.groupBy(key, "size", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings in a folder, by bucket of the term, sorted by term; a query reads the files of its own terms' buckets and, of these, the row groups that may hold the terms. spread: files of a bucket, so that a term that most rows hold is written by several tasks."""
+
+    path: str
+    key: str
+    buckets: int = 64
+    spread: int = 4
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def build(self, rows: DataFrame, fields: dict[str, Column]) -> TextIndex:
+        """Write the index of rows (with a unique key); a row without a term counts in the corpus only."""
+        p = postings(rows, self.key, fields).withColumn("bucket", self._bucket(F.col("term")))
+        p = p.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64(self.key), F.lit(self.spread))).sortWithinPartitions("bucket", "term")
+        p.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        size = sum((F.greatest(F.coalesce(F.size(terms(c)), F.lit(0)), F.lit(0)) for c in fields.values()), F.lit(0))
+        rows.select(size.alias("_size")).agg(F.count(F.lit(1)).alias("_all"), F.avg("_size").alias("_mean")).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        return self
+
+    def search(self, spark: SparkSession, weights: dict[str, float], query: str, every: bool = True) -> DataFrame:
+        """(key, raw, n_terms) as bm25 gives them."""
+        words = list(dict.fromkeys(w for w in query.lower().split() if w))
+        rows = spark.read.parquet(f"{self.path}/postings")
+        if not words:
+            return rows.select(self.key, F.lit(0.0).alias("raw"), F.lit(0).alias("n_terms")).where("false")
+        asked = spark.createDataFrame([(w,) for w in words], "term string").select(self._bucket(F.col("term")).alias("b"))
+        mine = rows.where(F.col("bucket").isin([r[0] for r in asked.collect()]) & F.col("term").isin(words))  # a row per word of the query
+        weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("field"))
+        found = mine.groupBy(self.key, F.col("size").alias("_size")).agg(*[F.sum(F.when(F.col("term") == w, weight * F.col("tf")).otherwise(0.0)).alias(f"_f{i}") for i, w in enumerate(words)])
+        return _scored(found, spark.read.parquet(f"{self.path}/corpus"), self.key, words, every)
 
 
 def matches(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], words: list[str], prefix: bool = False) -> DataFrame:
@@ -42,8 +79,14 @@ def bm25(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     if not words:
         return rows.select(key, F.lit(0.0).alias("raw"), F.lit(0).alias("n_terms")).where("false")
     found = materialize(matches(rows, key, fields, weights, words, prefix), "matches")
+    whole = found.agg(F.count(F.lit(1)).alias("_all"), F.avg("_size").alias("_mean"))
+    return _scored(found, whole, key, words, every)
+
+
+def _scored(found: DataFrame, whole: DataFrame, key: str, words: list[str], every: bool) -> DataFrame:
+    """Scores of rows (key, _size, _f0, ...) against a corpus of one row (_all, _mean)."""
     some = [F.col(f"_f{i}") > 0 for i in range(len(words))]
-    whole = found.agg(F.count(F.lit(1)).alias("_all"), F.avg("_size").alias("_mean"), *[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(some)])
+    whole = whole.join(F.broadcast(found.agg(*[F.count_if(c).alias(f"_n{i}") for i, c in enumerate(some)])))  # one row each
     match = sum((c.cast("int") for c in some), F.lit(0))
     kept = found.withColumn("n_terms", match).where(match == len(words) if every else match > 0)
     joined = kept.join(F.broadcast(whole))  # one row

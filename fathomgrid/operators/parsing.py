@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.plans.durable import materialize
+from fathomgrid.plans.skew import hot_keys, lookup_join
+
 _NAME = r"([A-Za-z_$][\w$]*)"
 #: Per extension: (kind, pattern of a line whose first group is the name), the pattern of an exported line, those of imports, and how a symbol ends.
 RULES: dict[str, tuple[list[tuple[str, str]], str, list[str], str]] = {
@@ -238,24 +241,37 @@ def resolve_types(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(F.col("what").alias("rel_type"), "source", "target", "line")
 
 
-def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of source files: symbols with defines and member_of edges, and calls resolved to a callable of the same file (confidence 1) or else the least of that name anywhere (0.5); unresolved calls have target null. Imports join files, and extends, implements and uses_type join symbols to types, where they are met."""
-    from fathomgrid.plans.durable import materialize
-
-    rows = materialize(parse_files(files), "parsed")
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """Nodes of parsed rows; of an identifier given twice, the first place counts."""
     sym = rows.where("what = 'symbol'")
     nodes = sym.groupBy("id").agg(*[F.min_by(c, "first").alias(c) for c in ("file_path", "kind", "name", "last", "exported", "owner")], F.min("first").alias("start_line"))
-    nodes = nodes.select("id", F.col("kind").alias("label"), "name", "file_path", "start_line", F.col("last").alias("end_line"), F.col("exported").cast("int").alias("is_exported"), F.col("owner").alias("class_name"))
+    return nodes.select("id", F.col("kind").alias("label"), "name", "file_path", "start_line", F.col("last").alias("end_line"), F.col("exported").cast("int").alias("is_exported"), F.col("owner").alias("class_name"))
+
+
+def edges_of(rows: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(rel_type, source, target, confidence, line) of parsed rows, resolved against nodes and files, which may hold more than those parsed: calls to a callable of the same file (confidence 1) or else the least of that name anywhere (0.5; unresolved calls have target null), defines and member_of of the rows' own symbols, and imports, extends, implements, uses_type and instantiates where they are met."""
     able = nodes.where("label in ('function', 'method')")
     local = able.groupBy("file_path", "name").agg(F.min("id").alias("near"))
     far = able.groupBy("name").agg(F.min("id").alias("far"))
-    calls = rows.where("what = 'call'").select("file_path", F.col("id").alias("source"), "name", F.col("first").alias("line")).join(local, ["file_path", "name"], "left").join(far, "name", "left")
+    named = rows.where("what = 'call'").select("file_path", F.col("id").alias("source"), "name", F.col("first").alias("line"))
+    calls = named.join(local, ["file_path", "name"], "left")
+    calls = lookup_join(calls, far, "name", hot_keys(named.select("name"), "name"))
     made = calls.select(F.lit("calls").alias("rel_type"), "source", F.coalesce("near", "far").alias("target"), F.when(F.col("near").isNotNull(), 1.0).when(F.col("far").isNotNull(), 0.5).alias("confidence"), "line")
-    edge = lambda t, a, b: nodes.select(F.lit(t).alias("rel_type"), a.alias("source"), b.alias("target"), F.lit(1.0).alias("confidence"), F.col("start_line").alias("line"))
+    own = nodes.join(rows.where("what = 'symbol'").select("id").distinct(), "id", "left_semi")
+    edge = lambda t, a, b: own.select(F.lit(t).alias("rel_type"), a.alias("source"), b.alias("target"), F.lit(1.0).alias("confidence"), F.col("start_line").alias("line"))
     file = lambda c: F.concat_ws(":", F.lit("file"), c, F.element_at(F.split(c, "/"), -1))
     file_id = file("file_path")
     met = resolve_imports(rows.where("what = 'import'"), files).where("resolved is not null")
     imports = met.select(F.lit("imports").alias("rel_type"), file_id.alias("source"), file("resolved").alias("target"), F.lit(1.0).alias("confidence"), "line")
     types = resolve_types(rows.where("what in ('extends', 'implements', 'uses_type')"), nodes).withColumn("confidence", F.lit(1.0))
+    classes = nodes.where("label = 'class'").groupBy("name").agg(F.min("id").alias("target"))
+    instances = named.join(classes, "name").select(F.lit("instantiates").alias("rel_type"), "source", "target", F.lit(1.0).alias("confidence"), "line")
     member = edge("member_of", F.col("id"), F.concat_ws(":", F.lit("class"), "file_path", "class_name")).where(F.col("source").startswith("method:"))
-    return nodes, made.unionByName(edge("defines", file_id, F.col("id"))).unionByName(member).unionByName(imports).unionByName(types)
+    return made.unionByName(edge("defines", file_id, F.col("id"))).unionByName(member).unionByName(imports).unionByName(types).unionByName(instances)
+
+
+def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of source files."""
+    rows = materialize(parse_files(files), "parsed")
+    nodes = nodes_of(rows)
+    return nodes, edges_of(rows, nodes, files)

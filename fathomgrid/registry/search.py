@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathomgrid.operators import evaluate as E
 from fathomgrid.operators import lexical as L
 from fathomgrid.operators import ranking as R
+from fathomgrid.plans.durable import run_dir
 from fathomgrid.registry.base import Named
 from fathomgrid.sources.tables import table
 
@@ -57,6 +58,22 @@ def bm25_documents(spark, root):
     return _bm25_docs(spark, root).join(active, "doc_id", "left_semi").select("doc_id", F.round(L.unit_score(F.col("raw")), 6).alias("score"))
 
 
+_INDEXES: dict[str, L.TextIndex] = {}
+
+
+def text_index(spark, root) -> L.TextIndex:
+    """The index of the documents of a folder, built at its first use in this process."""
+    if root not in _INDEXES:
+        _INDEXES[root] = L.TextIndex(f"{run_dir(spark)}/text-{len(_INDEXES)}", "doc_id").build(_docs(spark, root), _doc_fields())
+    return _INDEXES[root]
+
+
+@N.query("bm25_indexed", f"WITH {_BM} SELECT doc_id, n_terms, round(raw, 6) AS raw FROM m")
+def bm25_indexed(spark, root):
+    """The same scores from the persisted index."""
+    return text_index(spark, root).search(spark, _DW, QUERY).select("doc_id", "n_terms", F.round("raw", 6).alias("raw"))
+
+
 @N.query("topk_fts", f"WITH {_BM} SELECT doc_id, round(raw / (2 + raw), 6) AS score FROM m ORDER BY round(raw, 9) DESC, doc_id LIMIT 20")
 def topk_fts(spark, root):
     return L.top(_bm25_docs(spark, root), "raw", "doc_id", 20).select("doc_id", F.round(L.unit_score(F.col("raw")), 6).alias("score"))

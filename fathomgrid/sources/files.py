@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: What is never scanned.
 EXCLUDED = ("**/node_modules/**", "**/.git/**", "**/.cache/**", "**/vendor/**", "**/dist/**", "**/build/**", "**/.env*", "**/*.log", "**/coverage/**", "**/.next/**", "**/target/**", "**/__pycache__/**", "**/*.pyc", "**/.DS_Store")
-#: Extensions of source files.
-EXTENSIONS = tuple("ts tsx js jsx mjs cjs py go rs java php rb c h cpp hpp cc cs swift kt scala lua sh sql vue svelte dart".split())
+#: Extensions of source files, and folders that are skipped when sources are looked for.
+EXTENSIONS = tuple("ts tsx js jsx mjs cjs py go rs java kt kts swift c cpp cc cxx h hpp rb php scala sc lua vue svelte".split())
+SKIPPED = tuple("""node_modules vendor third_party venv .venv env .env site-packages __pycache__ .pytest_cache .mypy_cache eggs .eggs dist build target out bin .next .nuxt .output .git .svn .hg .idea .vscode .vs
+coverage .nyc_output .coverage htmlcov __tests__ test tests testing __mocks__ __fixtures__ fixtures benchmark benchmarks perf performance example examples demo demos temp temp-build tmp .cache .temp .husky .github .gitlab""".split())
 
 
 def glob_regex(glob: str) -> str:
@@ -78,8 +80,10 @@ def scan(spark: SparkSession, root: str, glob: str = "*.md", rules: list[IgnoreR
 
 
 def scan_sources(spark: SparkSession, root: str, rules: list[IgnoreRule] | None = None) -> DataFrame:
-    """scan over all source files."""
-    return scan(spark, root, "*.{" + ",".join(EXTENSIONS) + "}", rules)
+    """scan over all source files that stand in no skipped folder below the root."""
+    inside = F.split(F.regexp_replace("path", "^/+", ""), "/")
+    skipped = F.exists(F.slice(inside, 1, F.size(inside) - 1), lambda x: x.isin(*SKIPPED))
+    return scan(spark, root, "*.{" + ",".join(EXTENSIONS) + "}", rules).where(~skipped)
 
 
 def parse_log(text: str) -> Iterator[tuple[str, str, str, str]]:
