@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def percentiles(df: DataFrame, group: str, columns: list[str], hot_rows: int = 1
     Groups of hot_rows rows or more are ranked by range partitions instead of one window.
     """
     hot = [r[0] for r in df.groupBy(group).count().where(F.col("count") >= hot_rows).select(group).collect()]  # at most rows/hot_rows values
-    is_hot = F.coalesce(F.col(group).isin(hot), F.lit(False)) if hot else F.lit(False)
+    is_hot = reduce(lambda a, b: a | b, [F.col(group).eqNullSafe(F.lit(h)) for h in hot], F.lit(False))
     cold = df.where(~is_hot)
     for c in columns:
         by, tied = Window.partitionBy(group), Window.partitionBy(group, c)
@@ -47,7 +48,7 @@ def percentiles(df: DataFrame, group: str, columns: list[str], hot_rows: int = 1
         at = positions(warm.where(F.col(c).isNotNull()).select(group, c), group, [F.col(c)], "_pos", hot_rows)
         many = warm.groupBy(F.col(group).alias("_g")).agg(F.count(c).alias("_n"))
         mids = at.groupBy(group, c).agg(F.avg("_pos").alias("_mid")).join(F.broadcast(many), F.col(group).eqNullSafe(F.col("_g")))  # a row per hot group
-        key = F.concat_ws(":", F.col(group).cast("string"), F.col(c).cast("string"))
+        key = F.to_json(F.struct(F.col(group).cast("string").alias("g"), F.col(c).cast("string").alias("c")))
         mids = mids.select(key.alias("_key"), ((F.col("_mid") - 0.5) / F.col("_n")).alias("_p"))
         keyed = warm.withColumn("_key", F.when(F.col(c).isNotNull(), key))
         big = keyed.groupBy("_key").count().where(F.col("count") >= hot_rows).where("_key is not null")
@@ -56,7 +57,7 @@ def percentiles(df: DataFrame, group: str, columns: list[str], hot_rows: int = 1
     return cold.unionByName(warm.select(*cold.columns))
 
 
-def leximin_rank(candidates: DataFrame, group: str, item: str, evidence: tuple[Evidence, ...] = SEARCH_EVIDENCE, ties: tuple = SEARCH_TIES, hot_rows: int = 1_000_000) -> DataFrame:
+def leximin_rank(candidates: DataFrame, group: str, item: str, evidence: tuple[Evidence, ...] = SEARCH_EVIDENCE, ties: tuple = SEARCH_TIES, hot_rows: int = 1_000_000, gap: str = "own") -> DataFrame:
     """(group, item, weakest, worst_to_best, rank): one row per item and group, best first.
 
     Scores become percentiles within the group, each item's own vector of
@@ -64,7 +65,9 @@ def leximin_rank(candidates: DataFrame, group: str, item: str, evidence: tuple[E
     place on, so that no strong score hides a weak one and no range counts.
     An item found several times keeps its best value of each column. Null,
     NaN and infinite values are gaps; a gap is filled with the mean of the
-    item's own evidence, an item without any counts as middling (1/2).
+    item's own evidence (gap 'own'), with 1/2 ('half') or with 0 ('last', so
+    that no one strong score hides what is missing); an item without any
+    evidence counts as middling (1/2), or as last.
     Further ties go by `ties`, then by item.
     """
     senses = {c: s for e in evidence for c, s in e.columns} | dict(ties)
@@ -77,7 +80,7 @@ def leximin_rank(candidates: DataFrame, group: str, item: str, evidence: tuple[E
 
     p = p.withColumns({f"_{e.name}": mean([F.col(c) for c, _ in e.columns]) for e in evidence})
     own = [F.col(f"_{e.name}") for e in evidence]
-    fill = F.coalesce(mean(own), F.lit(0.5))
+    fill = {"own": F.coalesce(mean(own), F.lit(0.5)), "half": F.lit(0.5), "last": F.lit(0.0)}[gap]
     p = p.withColumn("worst_to_best", F.array_sort(F.array(*[F.round(F.coalesce(c, fill), 9) for c in own])))
     order = [F.get("worst_to_best", F.lit(i)).desc() for i in range(len(evidence))] + [F.round(c, 9).desc_nulls_last() for c, _ in ((F.col(t), s) for t, s in ties)] + [F.col(item)]
     ranked = positions(p.select(group, item, "worst_to_best", *[c for c, _ in ties]), group, order, "rank", hot_rows)

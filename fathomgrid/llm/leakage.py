@@ -37,7 +37,7 @@ class Containment:
 
 
 _BROKEN = re.compile(r"(?<=\w)[-‐­][ \t]*\r?\n[ \t]*(?:[>#*|;%/+-]+[ \t]*)*(?=\w)|­|[​‌‍⁠﻿]")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|\]\([^()\s]*\)|&(?:nbsp|amp|lt|gt|quot|#\d+);")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*+>|\]\([^()\s]*\)|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 _WORD = re.compile(r"[^\W_]+")
 
 
