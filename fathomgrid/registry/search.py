@@ -371,10 +371,13 @@ def unified_search(spark, root):
 
 @N.query("hybrid_query_documents")
 def hybrid_query_documents(spark, root):
-    """The document query: three full-text lists (query and two fixed expansions), of which the first two weigh double; fusion, reranking by the terms of the best lines, blend by position, one row per file."""
-    d = _docs(spark, root)
-    lists = [(L.top(L.bm25(d.where("active = 1"), "doc_id", _doc_fields(), _DW, q, every=False), "raw", "doc_id", 50), "raw") for q in (QUERY, "index snapshot", "hash cache")]
-    fused = L.top(R.fuse(lists, "doc_id", [2.0, 2.0, 1.0]), "score", "doc_id", 40)
+    """The document query: the query by full text and by vector, which weigh double, and two fixed expansions by full text; fusion, reranking by the terms of the text, blend by position, one row per file."""
+    d, index = _docs(spark, root), text_index(spark, root)
+    active = d.where("active = 1").select("doc_id")
+    text = lambda q: (L.top(index.search(spark, _DW, q, every=False).join(active, "doc_id", "left_semi"), "raw", "doc_id", 50), "raw")
+    e = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    near = (R.knn_filtered_after(e, "doc_id", "embedding", _vector(spark, root, 1), 50, active), "similarity")
+    fused = L.top(R.fuse([text(QUERY), near, text("index snapshot"), text("hash cache")], "doc_id", [2.0, 2.0, 1.0, 1.0]), "score", "doc_id", 40)
     rows = R.ranked(fused, "doc_id", "score").withColumn("rank", F.col("rank") + 1).drop("score").join(d.select("doc_id", "path", "collection", "text", "hash"), "doc_id")
     words = QUERY.split()
     hits = sum((F.least((F.length("text") - F.length(F.replace(F.lower("text"), F.lit(w), F.lit("")))) / len(w), F.lit(5.0)) for w in words), F.lit(0.0))

@@ -130,7 +130,9 @@ def display_path(spark, root):
     return x.join(c, "tail").groupBy("path").agg(F.coalesce(F.min_by(F.when(F.col("many") == 1, F.col("tail")), F.when(F.col("many") == 1, F.col("n"))), F.col("path")).alias("shown"))
 
 
-@N.query("apply_graph_expansion")
+@N.query("apply_graph_expansion", """WITH r AS (SELECT query_id, node_id, max(rrf_score) AS score FROM search_results WHERE rrf_score IS NOT NULL AND NOT isnan(rrf_score) GROUP BY ALL), t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10),
+e AS (SELECT DISTINCT source, target FROM graph_relationships WHERE rel_type = 'calls' AND target IS NOT NULL), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 5),
+n AS (SELECT DISTINCT query_id, target AS node_id FROM t JOIN f ON source = node_id) SELECT * FROM r UNION ALL SELECT query_id, node_id, 0.3::DOUBLE FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = n.query_id AND r.node_id = n.node_id)""")
 def apply_graph_expansion(spark, root):
     """The ten best symbols of each query, and up to five callees each of them that the query has not yet, at a score of 0.3."""
     r = table(spark, root, "search_results").where("rrf_score is not null and not isnan(rrf_score)").groupBy("query_id", "node_id").agg(F.max("rrf_score").alias("score"))
