@@ -194,24 +194,32 @@ class Features:
         asked = [words(q) for q, *_ in records]
         parts = [self.clauses(o) for _, o, *_ in records]
         sets = [set(a) for a in asked]
-        mine = self.languages(asked)
-        theirs = self.languages([[w for w in ws if w not in known] for known, cs in zip(sets, parts) for *_, ws in cs])
-        out, at = [], 0
-        for a, known, cs, own, (_, _, tails) in zip(asked, sets, parts, mine, records):
-            out.append((self._record(a, known, cs, own, theirs[at : at + len(cs)], tails), [len(c[3]) for c in cs]))
+        best = self._best(asked)
+        theirs = self._best([[w for w in ws if w not in known] for known, cs in zip(sets, parts) for *_, ws in cs])
+        every: list[list[float]] = []
+        for a, known, cs, own, (_, _, tails) in zip(asked, sets, parts, best, records):
+            every += self._record(a, known, cs, own, theirs[len(every) : len(every) + len(cs)], tails)
+        x, out, at = np.array(every).reshape(-1, len(self.NAMES)), [], 0
+        for cs in parts:
+            out.append((x[at : at + len(cs)], [len(c[3]) for c in cs]))
             at += len(cs)
         return out
 
-    def _record(self, asked: list[str], known: set[str], clauses: list, mine: np.ndarray, theirs: np.ndarray, tails: dict) -> np.ndarray:
+    def _best(self, texts: list[list[str]]) -> list[tuple[bool, int, list[float]]]:
+        """Per text: whether the statistics know a word of it, its likeliest language, and all likelihoods."""
+        x = self.languages(texts)
+        return list(zip(x.any(axis=1).tolist(), x.argmax(axis=1).tolist(), x.tolist()))
+
+    def _record(self, asked: list[str], known: set[str], clauses: list, mine: tuple, theirs: list[tuple], tails: dict) -> list[list[float]]:
         joined = "".join(asked)
-        x = np.zeros((len(clauses), len(self.NAMES)))
+        x = []
         topic = _topic(asked, self.common)
-        x[:, 0] = 1
-        x[:, 17] = float(bool(topic) and all(topic.isdisjoint(ws) for *_, ws in clauses))
-        spoken = bool(mine.any())
-        q = int(mine.argmax())
-        for r, (kind, text, end, ws) in enumerate(clauses):
-            row = x[r]
+        nowhere = float(bool(topic) and all(topic.isdisjoint(ws) for *_, ws in clauses))
+        spoken, q, mine = mine
+        for (kind, text, end, ws), (there, best, other) in zip(clauses, theirs):
+            row = [0.0] * len(self.NAMES)
+            x.append(row)
+            row[0], row[17] = 1.0, nowhere
             flat = "".join(ws)
             if joined and joined in flat:
                 front, _, back = flat.partition(joined)
@@ -221,18 +229,16 @@ class Features:
                     lead += 1
                 if not back.replace(joined, ""):
                     row[1 if lead <= 2 else 15] = 1
-            row[2] = sum([w in known for w in ws]) / len(ws)
-            place = sum([w in topic for w in ws])
+            row[2] = len([1 for w in ws if w in known]) / len(ws)
+            place = len([1 for w in ws if w in topic]) if topic else 0
             row[3] = min(1.0, place / 2) if asked else 1.0
             cues = len(self.cues.intersection(ws))
             row[4 + min(cues, 2)] = 1
             row[7] = float(cues >= 1 and row[3] == 0)
             row[18] = float(row[3] == 0)
-            other = theirs[r]
             if not spoken:
                 row[9] = 1  # nothing to disagree with
-            elif other.any():
-                best = int(other.argmax())
+            elif there:
                 sure = min(1.0, (mine[q] - mine[best]) / 3)  # a query that may be in either language disagrees with neither
                 if best != q and sure >= 0.5:
                     row[8] = min(1.0, (other[best] - other[q]) / 4)
@@ -247,7 +253,7 @@ class Features:
                     self._open_end(row, ws[-1], kind, asked, known, clauses, tails)
         return x
 
-    def _open_end(self, row: np.ndarray, w: str, kind: str, asked: list[str], known: set[str], clauses: list, tails: dict) -> None:
+    def _open_end(self, row: list[float], w: str, kind: str, asked: list[str], known: set[str], clauses: list, tails: dict) -> None:
         """Whether an open end breaks off: by what follows its last word elsewhere in the record and how often the word ends items of its kind."""
         seqs = [asked] + [ws for *_, end, ws in clauses if not end]
         n, e = tails.get((kind, "0" if w.isdigit() else w), (0, 0))
