@@ -85,6 +85,53 @@ def test_graph(spark):
     assert graph.traverse(calls, spark.createDataFrame([], "start string")).count() == 0
 
 
+def test_traverse_keeps_no_pairs_on_disk(spark):
+    from pathlib import Path
+
+    from fathomgrid.plans.durable import run_dir
+
+    calls = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(40) for b in range(40) if a != b], "source string, target string")
+    at = Path(run_dir(spark).removeprefix("file:"))
+    before = {x.name for x in at.iterdir()} if at.exists() else set()
+    hit = graph.traverse(calls, calls.selectExpr("source as start"), 3)
+    assert hit.count() == 40 * 39 and {x.name for x in at.iterdir()} <= before
+
+
+@pytest.mark.parametrize("side", ["callees", "callers", "both"])
+def test_traverse_follows_as_it_joins(spark, monkeypatch, side):
+    import random
+
+    rng = random.Random(5)
+    made = [(f"n{rng.randrange(400)}", f"n{min(rng.randrange(400), rng.randrange(400))}") for _ in range(700)] + [("é", "n1"), ("n2", None), (None, "n3"), ("n4", "")]
+    edges = spark.createDataFrame(made, "source string, target string")
+    starts = spark.createDataFrame([(f"n{x}",) for x in range(0, 400, 2)] * 2 + [("é",), ("",), ("none",), (None,)], "start string")
+    rows = lambda df: sorted((r["start"], r["id"], r["depth"]) for r in df.collect())
+    next_to: dict = {}
+    for a, b in made:
+        for x, y in [(a, b)] * (side != "callers") + [(b, a)] * (side != "callees"):
+            if a is not None and b is not None:
+                next_to.setdefault(x, set()).add(y)
+    want = []
+    for start in {f"n{x}" for x in range(0, 400, 2)} | {"é", ""}:
+        seen, last = {start}, {start}
+        for depth in range(1, 6):
+            last = {y for x in last for y in next_to.get(x, ())} - seen
+            seen |= last
+            want += [(start, x, depth) for x in last]
+    monkeypatch.setattr(graph, "PAIRS", 7)
+    assert rows(graph.traverse(edges, starts, 5, side)) == sorted(want)
+    monkeypatch.setattr(graph, "MOST_CHARS", 10)
+    assert rows(graph.traverse(edges, starts, 5, side)) == sorted(want)
+    assert graph.traverse(edges.where("false"), starts, 5, side).count() == graph.traverse(edges, starts, 0, side).count() == 0
+
+
+def test_traverse_of_numbers_in_blocks(spark):
+    line = spark.range(300).selectExpr("id as source", "id + 1 as target")
+    hit = graph.traverse(line, line.selectExpr("source as start"), 10)
+    assert dict(hit.dtypes) == {"start": "bigint", "id": "bigint", "depth": "int"} and hit.where("id - start <> depth").count() == 0
+    assert hit.count() == sum(min(10, 300 - x) for x in range(300))
+
+
 def test_communities_and_modularity(spark):
     links = [(a, b, 1.0) for g in ("abcd", "wxyz") for a in g for b in g if a != b] + [("a", "w", 0.1), ("w", "a", 0.1)]
     df = spark.createDataFrame(links, "a string, b string, w double")
